@@ -1,11 +1,464 @@
-"""Named queries over the driver's tables."""
+"""Named queries over the driver's tables: each operator that SQL can express, with its SQL, and file round trips.
+
+Embeddings serve as 8 x 8 images (vec_id: image number), prices and event values as raw sample codes, event_id as the address of a
+sample, numbers of orders, parts and customers as header fields, n_chars as sizes of auxiliary data.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelake.functions import dims, samples, text
+from framelake.operators import auxiliary, headers, raster
+from framelake.plans import layout
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+# --- samples ----------------------------------------------------------------------------------------------------------
+
+_PRICE = "SELECT l_orderkey, l_linenumber, l_extendedprice, CAST(trunc(l_extendedprice) AS BIGINT) AS s FROM lineitem"
+
+
+def _prices(spark, sf_dir, out: Column) -> DataFrame:
+    li = _t(spark, sf_dir, "lineitem").withColumn("s", F.col("l_extendedprice").cast("long"))
+    return li.select("l_orderkey", "l_linenumber", "l_extendedprice", out.alias("sample"))
+
+
+def _bits(name: str, file: str, mem: str, sql: str, reading: bool = True):
+    f = samples.read_bits if reading else samples.write_bits
+
+    def query(spark, sf_dir):
+        return _prices(spark, sf_dir, f(F.col("s"), file, mem))
+
+    query.__name__ = name
+    _query(f"SELECT l_orderkey, l_linenumber, l_extendedprice, {sql} AS sample FROM ({_PRICE})")(query)
+
+
+_bits("bitdepth_read", "B*10", "8", "(s & 1023) >> 2")
+_bits("bitdepth_expand", "B*8 ", "16", "(s & 255) << 8")
+_bits("bitdepth_lsb", "B*10", "16_LSB", "((s & 1023) << 6) & 255")
+_bits("bitdepth_read_14_12", "B*14", "12", "(s & 16383) >> 2")
+_bits("bitdepth_as_file", "B*12", "AF", "s & 4095")
+_bits("bitdepth_write", "B*10", "16", "(s & 65535) >> 6", False)
+_bits("bitdepth_write_up", "B*14", "10", "(s & 1023) << 4", False)
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, l_extendedprice, ((s & 255) << 8) | ((s >> 8) & 255) AS sample FROM ({_PRICE})")
+def endian_swap(spark, sf_dir):
+    return _prices(spark, sf_dir, samples.swap_bytes(F.col("s")))
+
+
+_HALF_SQL = "CASE WHEN e = 0 THEN g * (m * pow(2.0, -24)) ELSE g * ((m / 1024.0::DOUBLE + 1.0) * pow(2.0, e - 15)) END"
+
+
+@_query(f"SELECT event_id, {_HALF_SQL} AS value FROM (SELECT event_id, CASE WHEN (h >> 15) & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0 END AS g, (h >> 10) & 31 AS e, h & 1023 AS m FROM (SELECT event_id, event_id * 7919 % 65536 AS h FROM events)) WHERE e < 31")
+def half_decode(spark, sf_dir):
+    h = F.col("event_id") * 7919 % 65536
+    e = _t(spark, sf_dir, "events").select("event_id", h.alias("h"))
+    return e.filter(F.shiftright("h", 10).bitwiseAND(F.lit(31)) < 31).select("event_id", samples.half_to_float(F.col("h")).alias("value"))
+
+
+@_query("""SELECT event_id, CAST(CASE WHEN m = 1024 THEN (e + 1) * 1024 ELSE e * 1024 + m END AS INTEGER) AS code FROM (
+    SELECT event_id, floor(log2(x)) + 15 AS e, floor((x / pow(2.0, floor(log2(x))) - 1) * 1024 + 0.5) AS m FROM (SELECT event_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS x FROM events WHERE value >= 0.01 AND value < 60000))""")
+def half_encode(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").filter((F.col("value") >= 0.01) & (F.col("value") < 60000))
+    return e.select("event_id", samples.float_to_half(F.col("value").cast("float")).alias("code"))
+
+
+@_query("SELECT event_id, CAST(trunc((CAST(trunc(value * 10) AS INTEGER) - 128) / 4.0::DOUBLE + 0.5) AS INTEGER) AS sample FROM events")
+def gain_offset_read(spark, sf_dir):
+    raw = (F.col("value") * 10).cast("int")
+    return _t(spark, sf_dir, "events").select("event_id", samples.read_gain(raw, F.lit(128), F.lit(4.0), "int").alias("sample"))
+
+
+@_query("SELECT event_id, (CAST(trunc(value) AS DOUBLE) - 16.0) / 219.0 AS sample FROM events")
+def gain_offset_float(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", samples.read_gain(F.col("value").cast("int"), F.lit(16.0), F.lit(219.0)).alias("sample"))
+
+
+@_query("SELECT event_id, CAST(least(greatest(floor(value * 3.0 - 100.0 + 0.5), 0), 1023) AS INTEGER) AS code FROM events")
+def gain_offset_write(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", samples.write_gain(F.col("value"), F.lit(-100.0), F.lit(3.0), "B*10").alias("code"))
+
+
+@_query(f"SELECT l_orderkey, l_linenumber, l_extendedprice, (s & 4095) / 4095.0::DOUBLE AS sample FROM ({_PRICE})")
+def hdr_normalise(spark, sf_dir):
+    return _prices(spark, sf_dir, samples.hdr_read(F.col("s").bitwiseAND(F.lit(4095)), "B*12"))
+
+
+@_query("SELECT vec_id, CAST(p - 1 AS INTEGER) AS pos, CAST(least(greatest(floor(CAST(embedding[p] AS DOUBLE) * 1023.0 + 0.0 + 0.5), 0), 1023) AS INTEGER) AS code FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings)")
+def hdr_quantise(spark, sf_dir):
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+    return e.select("vec_id", "pos", samples.hdr_write(F.col("v").cast("double"), "B*10").alias("code"))
+
+
+@_query("SELECT o_orderkey, (p >> 32) AS hi, p & 4294967295 AS lo FROM (SELECT o_orderkey, o_custkey * 4294967296 + o_orderkey + 5000000000 AS p FROM orders)")
+def offset_halves(spark, sf_dir):
+    hi, lo = samples.add_offset(F.col("o_custkey"), F.col("o_orderkey"), F.lit(5_000_000_000))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", hi.alias("hi"), lo.alias("lo"))
+
+
+# --- header fields ----------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT p_partkey, CAST(w // gcd(w, h) AS BIGINT) AS h_pp, CAST(h // gcd(w, h) AS BIGINT) AS v_pp FROM (SELECT p_partkey, CAST(trunc(p_retailprice) AS BIGINT) AS w, CAST(p_size AS BIGINT) * 12 AS h FROM part)")
+def aspect_reduce(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").cast("long").alias("w"), (F.col("p_size").cast("long") * 12).alias("h"))
+    g = samples.gcd(F.col("w"), F.col("h"))
+    return p.withColumn("g", g).select("p_partkey", F.expr("w div g").alias("h_pp"), F.expr("h div g").alias("v_pp"))
+
+
+def _case(x: str, table: dict, other: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in table.items()) + f" ELSE '{other}' END"
+
+
+@_query(f"SELECT event_id, {_case('CAST(floor(100 * (value / 4) + 0.5) AS INTEGER)', {int(100 * v + 0.5): k for k, v in reversed(dims.CLASSES.items())}, 'UNKNOWN')} AS freq FROM events")
+def freq_class(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", headers.frequency_class(F.col("value") / 4).alias("freq"))
+
+
+_LINES_SQL = "[120, 144, 240, 288, 480, 576, 720, 1080, 1152, 525, 625, 99][CAST(o_orderkey % 12 + 1 AS INTEGER)]"
+_SIZE_SQL = "CASE WHEN st THEN CASE WHEN n IN (525, 625) THEN 'SD' ELSE 'UNKNOWN' END WHEN n IN (120, 144) THEN 'QCIF' WHEN n IN (240, 288) THEN 'CIF' WHEN n IN (480, 576) THEN 'SD' WHEN n IN (1080, 1152) THEN 'HDi' WHEN n = 720 THEN 'HDp' ELSE 'UNKNOWN' END"
+
+
+def _array(values, at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+
+
+@_query(f"SELECT o_orderkey, {_SIZE_SQL} AS size FROM (SELECT o_orderkey, {_LINES_SQL} AS n, o_custkey % 2 = 1 AS st FROM orders)")
+def size_class(spark, sf_dir):
+    n = _array([120, 144, 240, 288, 480, 576, 720, 1080, 1152, 525, 625, 99], F.col("o_orderkey") % 12)
+    return _t(spark, sf_dir, "orders").select("o_orderkey", headers.size_class(n, F.col("o_custkey") % 2 == 1).alias("size"))
+
+
+_H, _V = "[4, 16, 720, 5, 0][CAST(o_orderkey % 5 + 1 AS INTEGER)]", "[3, 9, 576, 4, 1][CAST(o_orderkey % 5 + 1 AS INTEGER)]"
+
+
+@_query(f"SELECT o_orderkey, CASE WHEN h = 4 AND v = 3 THEN '4:3' WHEN h = 16 AND v = 9 THEN '16:9' WHEN abs(720.0::DOUBLE / nullif(h, 0) - 576.0::DOUBLE / nullif(v, 0)) < 0.001 THEN 'w:h' ELSE 'UNKNOWN' END AS aspect FROM (SELECT o_orderkey, {_H} AS h, {_V} AS v FROM orders)")
+def aspect_class(spark, sf_dir):
+    at = F.col("o_orderkey") % 5
+    out = headers.aspect_class(_array([4, 16, 720, 5, 0], at), _array([3, 9, 576, 4, 1], at), F.lit(720.0), F.lit(576.0))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", out.alias("aspect"))
+
+
+_REQUEST = {
+    "color": ("o_orderkey % 9", "INTEGER"), "freq": ("['50','60','REAL_60','25','24','REAL_24','30','REAL_30','75'][CAST(o_custkey % 9 + 1 AS INTEGER)]", "VARCHAR"), "size": ("['QCIF','CIF','SD','HDp','HDi'][CAST(o_orderkey // 9 % 5 + 1 AS INTEGER)]", "VARCHAR"),
+    "ppl": ("[0,176,352,720,1280,1920,864,100][CAST(o_orderkey // 45 % 8 + 1 AS INTEGER)]", "INTEGER"), "progressive": ("o_custkey // 9 % 2 = 1", "BOOLEAN"), "ratio": ("['4:3','16:9','w:h','auto'][CAST(o_orderkey // 360 % 4 + 1 AS INTEGER)]", "VARCHAR"),
+}
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    o = _t(spark, sf_dir, "orders")
+    return o.select(
+        k.alias("path"), (k % 9).cast("int").alias("color"), _array(["50", "60", "REAL_60", "25", "24", "REAL_24", "30", "REAL_30", "75"], c % 9).alias("freq"), _array(["QCIF", "CIF", "SD", "HDp", "HDi"], F.expr("o_orderkey div 9") % 5).alias("size"),
+        _array([0, 176, 352, 720, 1280, 1920, 864, 100], F.expr("o_orderkey div 45") % 8).alias("ppl"), (F.expr("o_custkey div 9") % 2 == 1).alias("progressive"), _array(["4:3", "16:9", "w:h", "auto"], F.expr("o_orderkey div 360") % 4).alias("ratio"),
+    )
+
+
+def _raster_values() -> str:
+    return ", ".join(f"({s}, '{f}', '{z}', {a}, {w}, {n}, {k}::DOUBLE, {m}::DOUBLE)" for s, f, z, a, w, n, k, m in dims.raster_rows())
+
+
+_REQUESTS_SQL = "SELECT o_orderkey AS path, " + ", ".join(f"CAST({v} AS {t}) AS {k}" for k, (v, t) in _REQUEST.items()) + " FROM orders"
+_CREATE_SQL = f"""
+WITH r(st, rf, rz, ask, w, n, khz, mhz) AS (VALUES {_raster_values()}), q AS ({_REQUESTS_SQL}),
+j AS (SELECT q.*, r.*, color = 7 AS stream FROM q LEFT JOIN r ON (color = 7) = st AND freq = rf AND size = rz AND ppl = ask),
+s AS (SELECT *, CASE WHEN stream AND NOT progressive THEN 703 WHEN size = 'HDi' AND progressive THEN 702 WHEN size = 'HDp' AND NOT progressive THEN 701 WHEN size = 'HDp' AND freq IN ('50', '25') THEN 700
+    WHEN stream AND freq NOT IN ('25', '30') THEN 400 WHEN freq NOT IN ('50', '60', 'REAL_60', '25', '24', 'REAL_24', '30', 'REAL_30') THEN 400 WHEN stream AND size <> 'SD' THEN 500 WHEN w IS NULL THEN 710 ELSE 0 END AS status,
+    CASE WHEN freq IN ('24', '25', '30', 'REAL_24', 'REAL_30') AND NOT stream THEN 0.0::DOUBLE WHEN progressive AND NOT stream THEN 2.0 ELSE 1.0 END AS f,
+    CASE WHEN stream THEN ppl > 720 WHEN size IN ('HDp', 'HDi') THEN true WHEN size = 'SD' THEN ppl > 720 WHEN size = 'CIF' THEN ppl > 352 ELSE ppl > 176 END AS wide FROM j)
+SELECT path, CAST(status AS INTEGER) AS status, w AS act_pixel, n AS act_lines, coalesce(khz, 0) * f AS lin_freq, coalesce(mhz, 0) * f AS pix_freq,
+    CAST(CASE ratio WHEN '4:3' THEN 4 WHEN '16:9' THEN 16 WHEN 'w:h' THEN w // gcd(w, n) ELSE CASE WHEN wide THEN 16 ELSE 4 END END AS INTEGER) AS h_pp_size,
+    CAST(CASE ratio WHEN '4:3' THEN 3 WHEN '16:9' THEN 9 WHEN 'w:h' THEN n // gcd(w, n) ELSE CASE WHEN wide THEN 9 ELSE 3 END END AS INTEGER) AS v_pp_size, CAST(CASE WHEN progressive OR stream THEN 1 ELSE 2 END AS INTEGER) AS interlace FROM s"""
+
+
+@_query(_CREATE_SQL)
+def raster_lookup(spark, sf_dir):
+    h = headers.create_header(_requests(spark, sf_dir))
+    return h.select("path", "status", "act_pixel", "act_lines", "lin_freq", "pix_freq", "h_pp_size", "v_pp_size", "interlace")
+
+
+_CREATION_SQL = f"""SELECT path, CAST(CASE WHEN color = 7 AND NOT progressive THEN 703 WHEN size = 'HDi' AND progressive THEN 702 WHEN size = 'HDp' AND NOT progressive THEN 701 WHEN size = 'HDp' AND freq IN ('50', '25') THEN 700 ELSE 0 END AS INTEGER) AS status FROM ({_REQUESTS_SQL})"""
+
+
+@_query(_CREATION_SQL)
+def creation_status(spark, sf_dir):
+    q = _requests(spark, sf_dir)
+    return q.select("path", headers.creation_status(F.col("size"), F.col("freq"), F.col("progressive"), F.col("color")).alias("status"))
+
+
+def _made(spark, sf_dir) -> DataFrame:
+    """Headers with 4:2:0 components whose fields come from customer: some sizes don't fit."""
+    c = _t(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("int")
+    base = c.select(F.col("c_custkey").cast("string").alias("path"), F.lit(2).alias("color"), F.lit(50.0).alias("f"), F.lit(15.625).alias("l"), F.lit(13.5).alias("p"), (k % 7 * 16 + 576).alias("n"), (k % 5 * 8 + 720).alias("w"), (k % 2 + 1).alias("i"), F.lit(4).alias("h"), F.lit(3).alias("v"))
+    made = headers.free_header(base, "color", "f", "l", "p", "n", "w", "i", "h", "v")
+    k = F.col("path").cast("int")
+    comp = F.transform("comp", lambda x, i: headers.replaced(x, pix_line=F.when((k % 11 == 3) & (i == 0), x["pix_line"] + 2).when((k % 13 == 5) & (i == 1), x["pix_line"] - 2).otherwise(x["pix_line"]), lin_image=F.when((k % 17 == 4) & (i == 1), x["lin_image"] + 1).otherwise(x["lin_image"]), data_fmt=F.when((k % 19 == 6) & (i == 1), "B*10").when(k % 23 == 7, "R*2 ").otherwise("B*8 ")))
+    return made.withColumns({"comp": comp, "nr_images": (k % 100 * 3).cast("int")})
+
+
+_MADE_SQL = """SELECT CAST(k AS VARCHAR) AS path, k, CAST(k % 100 * 3 AS INTEGER) AS nr_images, i, w, n, 15.625::DOUBLE AS lin_freq, CASE WHEN k % 11 = 3 THEN w + 2 ELSE w END AS w0, n // i AS n0, CASE WHEN k % 13 = 5 THEN w - 2 ELSE w END AS w1, CASE WHEN k % 17 = 4 THEN n // 2 // i + 1 ELSE n // 2 // i END AS n1,
+    CASE WHEN k % 23 = 7 THEN 2 ELSE 1 END AS b0, CASE WHEN k % 19 = 6 OR k % 23 = 7 THEN 2 ELSE 1 END AS b1
+    FROM (SELECT CAST(c_custkey AS INTEGER) AS k, c_custkey % 7 * 16 + 576 AS n, c_custkey % 5 * 8 + 720 AS w, c_custkey % 2 + 1 AS i FROM customer)"""
+
+
+_CHECK_SQL = f"""SELECT path, CASE WHEN w0 <> w THEN 9 WHEN w1 = w THEN 2 ELSE 0 END AS color_format,
+    CASE WHEN w0 <> w THEN 300 WHEN w1 = w AND n1 * 2 * i <> n THEN 221 WHEN w1 <> w AND ((w1 * 2) % w <> 0 OR n1 * 2 * i <> n) THEN 226 WHEN k % 23 = 7 AND NOT (k % 19 = 6 AND false) THEN 800 WHEN w1 = w AND k % 19 = 6 THEN 810 ELSE 0 END AS status FROM ({_MADE_SQL})"""
+
+
+@_query(_CHECK_SQL)
+def header_status(spark, sf_dir):
+    return headers.check_header(_made(spark, sf_dir)).select("path", "color_format", "status")
+
+
+_BASIC_SQL = """SELECT o_orderkey, CAST(CASE WHEN i NOT BETWEEN 0 AND 2 THEN 501 WHEN w > 999999 OR w < 0 THEN 500 WHEN a * 512 > 16384 THEN 229 WHEN n > 9999999 THEN 199 ELSE 0 END AS INTEGER) AS status
+    FROM (SELECT o_orderkey, o_custkey % 4 AS i, CAST(trunc(o_totalprice) AS BIGINT) * 3 AS w, o_orderkey % 40 AS a, o_orderkey * 1000 AS n FROM orders)"""
+
+
+@_query(_BASIC_SQL)
+def basic_status(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    h = o.select("o_orderkey", (F.col("o_custkey") % 4).alias("interlace"), (F.col("o_totalprice").cast("long") * 3).alias("act_pixel"), F.lit(576).alias("act_lines"), (F.col("o_orderkey") % 40).alias("nr_aux_hdr_recs"), F.lit(512).alias("bytes_rec"), F.lit(0).alias("nr_compon"), (F.col("o_orderkey") * 1000).alias("nr_images"), F.array().cast(f"array<{headers.COMPONENT}>").alias("comp"))
+    return h.select("o_orderkey", headers.basic_status().cast("int").alias("status"))
+
+
+_COLOR_CASES = [(1, 1, 1), (2, 1, 2), (2, 2, 2), (2, 1, 1), (2, 2, 1)]
+
+
+@_query("""SELECT c_custkey, CASE WHEN a = 'S' THEN 7 WHEN a = 'R' THEN CASE WHEN p = 1 AND l = 1 THEN 6 ELSE 9 END WHEN p = 1 AND l = 1 AND m = 1 THEN 3 WHEN p = 2 AND l = 1 AND m = 1 THEN 4 WHEN p = 2 AND l = 2 AND m = 1 THEN 5 ELSE 0 END AS color_format
+    FROM (SELECT c_custkey, ['Y', 'R', 'S'][CAST(c_custkey // 5 % 3 + 1 AS INTEGER)] AS a, [1, 2, 2, 2, 2][CAST(c_custkey % 5 + 1 AS INTEGER)] AS p, [1, 1, 2, 1, 2][CAST(c_custkey % 5 + 1 AS INTEGER)] AS l, [1, 2, 2, 1, 1][CAST(c_custkey % 5 + 1 AS INTEGER)] AS m FROM customer)""")
+def color_infer(spark, sf_dir):
+    k = F.col("c_custkey")
+    at = F.expr("c_custkey div 5") % 3
+    p, l, m = (_array([c[i] for c in _COLOR_CASES], k % 5) for i in range(3))
+    first = headers.component(_array(["Y    ", "R    ", "S    "], at), "B*8 ", F.lit(576), F.lit(720), F.lit(1), F.lit(1))
+    others = [headers.component(_array(names, at), "B*8 ", F.lit(576), (720 * m / p).cast("int"), p, l) for names in (["U    ", "G    ", "G    "], ["V    ", "B    ", "B    "])]
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.array(first, *others).alias("comp"))
+    return c.select("c_custkey", headers.color_of(F.col("comp"), F.lit(720)).alias("color_format"))
+
+
+def _short(df: DataFrame) -> DataFrame:
+    c = lambda k: F.get(F.col("comp"), k)
+    return df.select("path", "nr_images", "interlace", "lin_freq", "act_pixel", "act_lines", c(0)["lin_image"].alias("lines_0"), c(1)["lin_image"].alias("lines_1"), c(0)["pix_line"].alias("pixels_0"), c(1)["pix_line"].alias("pixels_1"), "status")
+
+
+def _short_sql(**changes: str) -> str:
+    own = {"nr_images": "nr_images", "interlace": "CAST(i AS INTEGER)", "lin_freq": "lin_freq", "act_pixel": "CAST(w AS INTEGER)", "act_lines": "CAST(n AS INTEGER)", "lines_0": "CAST(n0 AS INTEGER)", "lines_1": "CAST(n1 AS INTEGER)", "pixels_0": "CAST(w0 AS INTEGER)", "pixels_1": "CAST(w1 AS INTEGER)", "status": "0"} | changes
+    return "SELECT path, " + ", ".join(f"{v} AS {k}" for k, v in own.items()) + f" FROM ({_MADE_SQL})"
+
+
+_COLOR_SQL = "(CASE WHEN w0 <> w THEN 9 WHEN w1 = w THEN 2 ELSE 0 END)"
+
+
+@_query(_short_sql(nr_images="CAST(CASE WHEN i = 2 THEN nr_images // 2 ELSE nr_images END AS INTEGER)", interlace="1", lin_freq="CASE WHEN i = 2 THEN lin_freq * 2 ELSE lin_freq END", lines_0=f"CAST(CASE WHEN i = 2 AND {_COLOR_SQL} <> 9 THEN n0 * 2 ELSE n0 END AS INTEGER)", lines_1=f"CAST(CASE WHEN i = 2 AND {_COLOR_SQL} = 2 THEN n1 * 2 ELSE n1 END AS INTEGER)"))
+def mod_progressive(spark, sf_dir):
+    return _short(headers.to_progressive(_made(spark, sf_dir)))
+
+
+@_query(_short_sql(nr_images="CAST(CASE WHEN i = 1 THEN nr_images * 2 ELSE nr_images END AS INTEGER)", interlace="2", lin_freq="CASE WHEN i = 1 THEN lin_freq * 0.5 ELSE lin_freq END", lines_0=f"CAST(CASE WHEN i = 1 AND {_COLOR_SQL} <> 9 THEN n0 // 2 ELSE n0 END AS INTEGER)", lines_1=f"CAST(CASE WHEN i = 1 AND {_COLOR_SQL} = 2 THEN n1 // 2 ELSE n1 END AS INTEGER)"))
+def mod_interlaced(spark, sf_dir):
+    return _short(headers.to_interlaced(_made(spark, sf_dir)))
+
+
+@_query(_short_sql(nr_images="CAST(nr_images * 2 AS INTEGER)", lin_freq="lin_freq * 2"))
+def mod_double_rate(spark, sf_dir):
+    return _short(headers.to_double_rate(_made(spark, sf_dir)))
+
+
+@_query(_short_sql(nr_images="CAST(trunc(nr_images * 1.5::DOUBLE) AS INTEGER)", lin_freq="lin_freq * 1.5"))
+def mod_one_and_half_rate(spark, sf_dir):
+    return _short(headers.to_one_and_half_rate(_made(spark, sf_dir)))
+
+
+@_query(_short_sql(act_pixel="352", act_lines="288", pixels_0="CAST(352 // nullif(w // w0, 0) AS INTEGER)", pixels_1="CAST(352 // nullif(w // w1, 0) AS INTEGER)", lines_0="CAST(288 // (n // n0) AS INTEGER)", lines_1="CAST(288 // (n // n1) AS INTEGER)"))
+def mod_image_size(spark, sf_dir):
+    return _short(headers.set_image_size(_made(spark, sf_dir), F.lit(352), F.lit(288)))
+
+
+@_query(_short_sql(nr_images="CAST(25 * i AS INTEGER)"))
+def mod_num_frames(spark, sf_dir):
+    return _short(headers.set_num_frames(_made(spark, sf_dir), F.lit(25)))
+
+
+@_query(f"SELECT path, CAST((2 + 36 + 4) * 512 AS BIGINT) AS header_bytes, CAST(w0 * n0 * b0 + w1 * n1 * b1 AS BIGINT) AS image_bytes, CAST(21504 + nr_images * (w0 * n0 * b0 + w1 * n1 * b1) AS BIGINT) AS file_bytes FROM ({_MADE_SQL})")
+def size_algebra(spark, sf_dir):
+    return headers.sizes(_made(spark, sf_dir)).select("path", "header_bytes", "image_bytes", "file_bytes")
+
+
+@_query(f"SELECT path, CAST(c AS INTEGER) AS comp, CAST(21504 + 2 * (w0 * n0 * b0 + w1 * n1 * b1) + CASE WHEN c = 1 THEN w0 * n0 * b0 ELSE 0 END AS BIGINT) AS position FROM ({_MADE_SQL}), (SELECT unnest([0, 1]) AS c)")
+def comp_offset(spark, sf_dir):
+    h = headers.sizes(_made(spark, sf_dir)).withColumn("number", F.explode(F.array(F.lit(0), F.lit(1))))
+    return h.select("path", F.col("number").alias("comp"), layout.offset(F.lit(3), F.col("number"), F.col("comp"), F.col("nr_aux_data_recs"), F.col("bytes_rec"), F.col("header_bytes")).alias("position"))
+
+
+@_query(f"SELECT path, CASE WHEN x % 11 = 3 THEN 117 WHEN x % 23 = 7 THEN 117 ELSE 0 END AS status FROM (SELECT path, k AS x FROM ({_MADE_SQL}))")
+def rewrite_compat(spark, sf_dir):
+    old = _made(spark, sf_dir)
+    k = F.col("path").cast("int")
+    comp = F.transform("comp", lambda c: headers.replaced(c, data_fmt=F.when(k % 23 == 7, "B*8 ").otherwise(c["data_fmt"]), com_code=F.lit("void ")))
+    new = old.withColumns({"comp": comp, "act_lines": F.when(k % 11 == 3, F.col("act_lines") + 1).otherwise(F.col("act_lines")), "ima_freq": F.lit(60.0)})
+    return headers.rewrite_status(old, new)
+
+
+@_query("SELECT o_orderkey, s AS status, t AS message FROM (SELECT o_orderkey, CAST(o_orderkey % 1000 AS INTEGER) AS s FROM orders) LEFT JOIN (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in dims.STATUS.items()) + ") v(k, t) ON s = k")
+def status_text(spark, sf_dir):
+    s = (F.col("o_orderkey") % 1000).cast("int")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", s.alias("status"), headers.error_text(s).alias("message"))
+
+
+@_query("SELECT o_orderkey, lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, ' ') || printf('%12f', o_totalprice) || rpad(left(o_orderpriority, 5), 5, ' ') AS record FROM orders WHERE o_totalprice < 99999")
+def header_render(spark, sf_dir):
+    r = F.concat(text.render_int(F.col("o_orderkey") % 10_000_000, 7), text.render_float(F.col("o_totalprice")), text.padded_name(F.col("o_orderpriority")))
+    return _t(spark, sf_dir, "orders").filter("o_totalprice < 99999").select("o_orderkey", r.alias("record"))
+
+
+@_query("SELECT o_orderkey, CAST(o_orderkey % 10000000 AS INTEGER) AS number, CAST(printf('%12f', o_totalprice) AS DOUBLE) AS amount, rpad(left(o_orderpriority, 5), 5, ' ') AS name FROM orders WHERE o_totalprice < 99999")
+def header_parse(spark, sf_dir):
+    raw = F.col("record").cast("binary")
+    return header_render(spark, sf_dir).select("o_orderkey", text.parse_int(text.field(raw, 0, 7)).alias("number"), text.parse_float(text.field(raw, 7, 12)).alias("amount"), text.parse_text(text.field(raw, 19, 5)).alias("name"))
+
+
+@_query("SELECT source, CAST(sum(a) AS BIGINT) AS bytes, CAST(ceil(sum(a) / 512.0) AS INTEGER) AS records FROM (SELECT source, CASE WHEN m > 0 THEN m + 8 ELSE 0 END AS a FROM (SELECT source, max(n_chars) % 500 AS m FROM documents GROUP BY source, lang)) GROUP BY source")
+def aux_layout(spark, sf_dir):
+    per = _t(spark, sf_dir, "documents").groupBy("source", "lang").agg((F.max("n_chars") % 500).cast("int").alias("max_size"))
+    a = per.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("lang").alias("name"), "max_size", F.lit(b"").alias("description")))).alias("aux"))
+    return a.select("source", auxiliary.data_bytes(F.col("aux")).alias("bytes"), auxiliary.data_records(F.col("aux"), F.lit(512)).alias("records"))
+
+
+@_query("SELECT source, lang, CAST(coalesce(sum(CASE WHEN m > 0 THEN m + 8 ELSE 0 END) OVER (PARTITION BY source ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM (SELECT source, lang, max(n_chars) % 500 AS m FROM documents GROUP BY source, lang)")
+def aux_offsets(spark, sf_dir):
+    per = _t(spark, sf_dir, "documents").groupBy("source", "lang").agg((F.max("n_chars") % 500).cast("int").alias("max_size"))
+    a = per.groupBy("source").agg(F.array_sort(F.collect_list(F.struct(F.col("lang").alias("name"), "max_size", F.lit(b"").alias("description")))).alias("aux"))
+    e = a.select("source", "aux", F.posexplode("aux").alias("k", "e"))
+    return e.select("source", F.col("e.name").alias("lang"), auxiliary.data_offset(F.col("aux"), F.col("k")).alias("position"))
+
+
+@_query("SELECT doc_id, CASE WHEN n_chars > 1000 THEN 228 ELSE 0 END AS status FROM documents")
+def aux_limits(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", auxiliary.payload_status(F.col("n_chars"), F.lit(1000)).alias("status"))
+
+
+# --- planes -----------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT event_id, CAST(2 * (f - 1) + d AS BIGINT) AS image_no, x, y, d AS field FROM (SELECT event_id, event_id // 256 + 1 AS f, CAST(event_id % 256 // 16 % 2 + 1 AS INTEGER) AS d, CAST(event_id % 16 AS INTEGER) AS x, CAST(event_id % 256 // 16 // 2 AS INTEGER) AS y FROM events)")
+def field_address(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.expr("event_id div 256 + 1").alias("frame"), (F.col("event_id") % 16).cast("int").alias("x"), F.expr("cast(event_id % 256 div 16 as int)").alias("y"))
+    e = raster.split_lines(e)
+    return e.select("event_id", layout.image_number(F.col("frame"), F.col("field"), F.lit(True)).alias("image_no"), "x", "y", "field")
+
+
+_SAMPLES_SQL = "SELECT vec_id, CAST((p - 1) % 8 AS INTEGER) AS x, CAST((p - 1) // 8 AS INTEGER) AS y, CAST(embedding[p] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS p FROM embeddings)"
+
+
+def _image_samples(spark, sf_dir) -> DataFrame:
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("a"))
+    return raster.samples_of(e, "a", 8, ("vec_id",))
+
+
+@_query(f"SELECT vec_id, x, CAST(y // 2 AS INTEGER) AS y, CAST(y % 2 + 1 AS INTEGER) AS field, value FROM ({_SAMPLES_SQL})")
+def split(spark, sf_dir):
+    return raster.split_lines(_image_samples(spark, sf_dir))
+
+
+@_query("SELECT CAST(vec_id // 2 AS BIGINT) AS frame, x, CAST(2 * y + vec_id % 2 AS INTEGER) AS y, value FROM (" + _SAMPLES_SQL + ")")
+def weave(spark, sf_dir):
+    s = _image_samples(spark, sf_dir).select(F.expr("vec_id div 2").alias("frame"), (F.col("vec_id") % 2 + 1).alias("field"), "x", "y", "value")
+    return raster.weave_lines(s)
+
+
+@_query(f"SELECT * FROM ({_SAMPLES_SQL}) WHERE x < 5 AND y < 3")
+def crop(spark, sf_dir):
+    return raster.crop_samples(_image_samples(spark, sf_dir), 5, 3)
+
+
+@_query(f"SELECT vec_id, CAST(x // 2 AS INTEGER) AS x, y, CASE WHEN x % 2 = 0 THEN 'U' ELSE 'V' END AS comp_name, value FROM ({_SAMPLES_SQL})")
+def uv_demux(spark, sf_dir):
+    return raster.demultiplex(_image_samples(spark, sf_dir))
+
+
+def _planes(spark, sf_dir) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 9).cast("int").alias("color_format"), (F.col("event_id") % 3).cast("int").alias("comp"))
+
+
+def _mode_query(mode: str) -> None:
+    values = ", ".join(f"({c}, {comps or [-1]}, {s})" for c, m, comps, s in dims.component_modes() if m == mode)
+
+    def query(spark, sf_dir):
+        return raster.select_components(_planes(spark, sf_dir), mode).select("event_id", "color_format", "comp", "status")
+
+    query.__name__ = f"project_{mode.lower()}"
+    _query(f"SELECT event_id, color_format, comp, s AS status FROM (SELECT event_id, CAST(user_id % 9 AS INTEGER) AS color_format, CAST(event_id % 3 AS INTEGER) AS comp FROM events) JOIN (VALUES {values}) v(c, k, s) ON color_format = c WHERE list_contains(k, comp) OR (s <> 0 AND comp = 0)")(query)
+
+
+for _m in dims.MODES:
+    _mode_query(_m)
+
+
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+def _shared(spark: SparkSession) -> str:
+    import tempfile
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return (named or tempfile.gettempdir()).removeprefix("file://")
+
+
+def _image_header(spark, n: int, little: bool = True) -> dict:
+    from framelake.sources import format as source
+
+    one = spark.createDataFrame([(0, 50.0, 0.0, 0.0, 8, 8, 1, 1, 1)], "color int, f double, l double, p double, n int, w int, i int, h int, v int")
+    h = headers.set_data_format(headers.free_header(one, "color", "f", "l", "p", "n", "w", "i", "h", "v"), F.lit("B*10"))
+    return source.header_dict(h.first()) | {"nr_images": n, "little_endian": little}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantises the embeddings to 10 bits, writes them as one sequence file, reads it back as samples and describes each image."""
+    from framelake.sources import format as source
+
+    e = _t(spark, sf_dir, "embeddings")
+    codes = F.transform("embedding", lambda v: F.floor(F.least(F.greatest((v.cast("double") + 1) * 511.5, F.lit(0.0)), F.lit(1023.0)) + 0.5).cast("int"))
+    hexes = F.array_join(F.transform(codes, lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))), "")
+    planes = e.select((F.col("vec_id") + 1).cast("int").alias("image_no"), F.lit(0).alias("comp"), F.unhex(hexes).alias("data"))
+    path = f"{_shared(spark)}/images-{uuid.uuid4().hex}.seq"
+    source.write(planes, path, _image_header(spark, e.count()))
+    s = source.read(spark, path, level="sample", memFormat="8")
+    per = s.groupBy("image_no").agg(F.count("*").alias("samples"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return per.select((F.col("image_no") - 1).cast("long").alias("vec_id"), "samples", "total", "least", "most")
+
+
+@_query("""SELECT vec_id, count(*) AS samples, CAST(sum(s) AS BIGINT) AS total, CAST(min(s) AS INTEGER) AS least, CAST(max(s) AS INTEGER) AS most FROM
+    (SELECT vec_id, CAST(floor(least(greatest((CAST(unnest(embedding) AS DOUBLE) + 1) * 511.5, 0), 1023) + 0.5) AS BIGINT) >> 2 AS s FROM embeddings) GROUP BY vec_id""")
+def file_round_trip(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
