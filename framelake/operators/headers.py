@@ -27,7 +27,7 @@ _NAMES = [x.split()[0] for x in SCHEMA.split("comp array")[0].split(", ") if x]
 def whole_div(a: Column, b: Column | int) -> Column:
     """Integer quotient toward zero; null for a zero divisor."""
     b = b if isinstance(b, Column) else F.lit(b)
-    return (a.cast("long") / F.nullif(b.cast("long"), F.lit(0).cast("long"))).cast("long").cast("int")
+    return F.try_divide(a.cast("double"), b.cast("double")).cast("long").cast("int")
 
 
 def component(name: str | Column, fmt: str | Column, lines: Column, pixels: Column, pss: Column, lss: Column) -> Column:
@@ -36,11 +36,12 @@ def component(name: str | Column, fmt: str | Column, lines: Column, pixels: Colu
     return F.struct(*[c.cast("string" if k in ("data_fmt", "com_code") else "int").alias(k) for k, c in fields.items()])
 
 
+_FIELDS = dict(x.split(":") for x in COMPONENT[len("struct<") : -1].split(","))
+
+
 def replaced(c: Column, **fields: Column) -> Column:
-    out = c
-    for k, v in fields.items():
-        out = out.withField(k, v)
-    return out
+    """A component with some fields replaced."""
+    return F.struct(*[(fields[k].cast(t) if k in fields else c[k]).alias(k) for k, t in _FIELDS.items()])
 
 
 def strictly(df: DataFrame) -> DataFrame:
@@ -325,11 +326,12 @@ def to_one_and_half_rate(df: DataFrame) -> DataFrame:
 
 def set_image_size(df: DataFrame, width: Column, height: Column) -> DataFrame:
     """Components keep their whole-number ratio to the picture; larger pictures lose line and pixel frequency."""
-    df = df.withColumns({"_w": width.cast("int"), "_h": height.cast("int")})
-    comp = F.transform("comp", lambda c: replaced(c, pix_line=whole_div(F.col("_w"), whole_div(F.col("act_pixel"), c["pix_line"])), lin_image=whole_div(F.col("_h"), whole_div(F.col("act_lines"), c["lin_image"]))))
+    # in a lambda, a name that the same withColumns() redefines would mean the new column: so the old size has other names
+    df = df.withColumns({"_w": width.cast("int"), "_h": height.cast("int"), "_w0": F.col("act_pixel"), "_h0": F.col("act_lines")})
+    comp = F.transform("comp", lambda c: replaced(c, pix_line=whole_div(F.col("_w"), whole_div(F.col("_w0"), c["pix_line"])), lin_image=whole_div(F.col("_h"), whole_div(F.col("_h0"), c["lin_image"]))))
     smaller = (F.col("_w") <= F.col("act_pixel")) & (F.col("_h") <= F.col("act_lines"))
     freq = lambda k: F.when(smaller, F.col(k)).otherwise(0.0)
-    return df.withColumns({"comp": comp, "lin_freq": freq("lin_freq"), "pix_freq": freq("pix_freq"), "act_pixel": F.col("_w"), "act_lines": F.col("_h"), "status": F.lit(0)}).drop("_w", "_h")
+    return df.withColumns({"comp": comp, "lin_freq": freq("lin_freq"), "pix_freq": freq("pix_freq"), "act_pixel": F.col("_w"), "act_lines": F.col("_h"), "status": F.lit(0)}).drop("_w", "_h", "_w0", "_h0")
 
 
 def _rebuild(df: DataFrame, size: Column, ppl: Column, freq: Column) -> DataFrame:
@@ -481,9 +483,9 @@ def error_text(status: Column) -> Column:
 
 def printed(df: DataFrame) -> DataFrame:
     """Path and the header as lines of text."""
-    one = lambda name, v: F.format_string(f"%-28s: %s", F.lit(name), v.cast("string"))
+    one = lambda name, v: F.format_string("%-28s: %s", F.lit(name), v.cast("string"))
     flat = [k for k in _NAMES if k not in ("path", "comp", "aux", "status", "description")]
-    parts = F.transform("comp", lambda c, i: F.concat_ws("\n", F.format_string("component %d", i), *[one(k.split(":")[0], c[k.split(":")[0]]) for k in COMPONENT[7:-1].split(",")]))
+    parts = F.transform("comp", lambda c, i: F.concat_ws("\n", F.format_string("component %d", i), *[one(k, c[k]) for k in _FIELDS]))
     return df.select("path", F.concat_ws("\n", *[one(k, F.col(k)) for k in flat], F.array_join(parts, "\n")).alias("text"))
 
 
