@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.common import checkpointed
+
 #: License and a passage that grants it or names it.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -73,7 +75,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     rows = rows.filter(has).select("doc_id", F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all("_text", F.lit("[a-z0-9]+"), F.lit(0)).alias("_w"))
     marks = F.array(*[F.lit(a) for a in anchors])
     at = F.filter(F.transform("_w", lambda w, i: F.when(F.array_contains(marks, w), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("_marks", at).filter(F.size("_marks") > 0)
+    rows = checkpointed(rows.withColumn("_marks", at).filter(F.size("_marks") > 0))  # each class reads it
 
     classes: dict[int, list[tuple[int, str, str, list[str]]]] = {}
     for i, (name, passage) in enumerate(templates):
