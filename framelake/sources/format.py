@@ -1,7 +1,7 @@
 """The data source `rasterseq`: sequence files as tables, and tables as sequence files.
 
 Levels (option level): header, plane (default), line, sample, aux. Files are split by image ranges. Filters on image_no, frame,
-field, comp and com_code prune what is read where the session has pushdown on; so do the options components and images.
+field, comp and com_code prune what is read where pushdown is asked for; the options components and images always do.
 Files are opened by path on executors, so they must be on a file system that all have mounted.
 """
 
@@ -324,17 +324,21 @@ class SequenceSource(DataSource):
         return SequenceStreamWriter(dict(self.options))
 
 
-def register(spark: SparkSession, pushdown: bool = True) -> None:
+def register(spark: SparkSession, pushdown: bool = False) -> None:
     """Makes the format known to a session, and lets filters reach it."""
     spark.dataSource.register(SequenceSource)
     if pushdown:
         spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-def read(spark: SparkSession, path: str, level: str = "plane", **options):
-    """The table of a level of one file, a pattern or a folder."""
-    register(spark)
-    return spark.read.format("rasterseq").options(level=level, pushdown="true", **{k: str(v) for k, v in options.items()}).load(path)
+def read(spark: SparkSession, path: str, level: str = "plane", pushdown: bool = False, **options):
+    """The table of a level of one file, a pattern or a folder. Options components ("0,2") and images ("3-8") prune what is read.
+
+    With pushdown, filters on positions prune too; but Spark 4.1 keeps what one query pushed in the relation, so a DataFrame that is read with
+    pushdown must serve one query only. It is off by default for that.
+    """
+    register(spark, pushdown)
+    return spark.read.format("rasterseq").options(level=level, pushdown=str(pushdown), **{k: str(v) for k, v in options.items()}).load(path)
 
 
 def write(rows, path: str, header: dict, **options) -> None:
