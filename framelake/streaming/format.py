@@ -6,46 +6,45 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql.datasource import DataSourceStreamArrowWriter, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSourceStreamArrowWriter, DataSourceStreamReader
+from pyspark.sql.types import StructType
 
 from framelake.plans.layout import Layout
 from framelake.sources import codec
-from framelake.sources.format import LEVELS, Done, Range, _put, _rows, count_images, read_header
+from framelake.sources.format import Done, Range, _batches, _put, _rows, count_images, read_header
 
 
-class SequenceStreamReader(SimpleDataSourceStreamReader):
-    """The offset is the number of images read; it only rises. An image that isn't complete yet is left for later."""
+class SequenceStreamReader(DataSourceStreamReader):
+    """The offset is the number of images read; it only rises. An image that isn't complete yet is left for later.
+
+    Ranges of images are read by the executors, as in the batch source.
+    """
+
+    def __init__(self, schema: StructType, options: dict):
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    def __init__(self, options: dict):
         self.options = {k.lower(): v for k, v in options.items()}
         self.path = self.options["path"].removeprefix("file://")
         self.level = self.options.get("level", "plane")
-        self.names = [x.split()[0] for x in LEVELS[self.level].split(", ")]
+        self.arrow = to_arrow_schema(schema)
 
     def initialOffset(self) -> dict:
         return {"image_no": int(self.options.get("startingimage", 1)) - 1}
 
-    def _tuples(self, first: int, last: int) -> Iterator[tuple]:
+    def latestOffset(self) -> dict:
+        first = self.initialOffset()["image_no"]
+        if not os.path.exists(self.path):
+            return {"image_no": first}
+        return {"image_no": max(first, Layout(read_header(self.path)).images(os.path.getsize(self.path)))}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
         h = read_header(self.path)
-        for r in _rows(Range(self.path, h, first, last, tuple(range(len(h["comp"])))), self.level, self.options):
-            if "samples" in r:
-                s = r["samples"]
-                for y in range(len(s)):
-                    for x in range(s.shape[1]):
-                        yield tuple({**r, "y": y, "x": x, "value": int(s[y, x])}[k] for k in self.names)
-            else:
-                yield tuple(r[k] for k in self.names)
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        first = start["image_no"] + 1
-        lay = Layout(read_header(self.path))
-        last = min(lay.images(os.path.getsize(self.path)), first - 1 + int(self.options.get("maximagespertrigger", 64)))
-        if last < first:
-            return iter(()), start
-        return self._tuples(first, last), {"image_no": last}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._tuples(start["image_no"] + 1, end["image_no"])
+        every = tuple(range(len(h["comp"])))
+        ranges = Layout(h).ranges(start["image_no"] + 1, end["image_no"], int(self.options.get("parallelism", 8)), int(self.options.get("imagesperpartition", 0)))
+        return [Range(self.path, h, a, b, every) for a, b in ranges] or [Range(self.path, h, 1, 0, every)]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        yield from _batches(_rows(partition, self.level, self.options), self.arrow, self.level)
 
 
 class SequenceStreamWriter(DataSourceStreamArrowWriter):

@@ -176,7 +176,7 @@ def test_streams(spark, tmp_path):
     n = Layout(h).planes[0]
     path, out = str(tmp_path / "in.seq"), str(tmp_path / "out.seq")
     source.write(spark.createDataFrame([(i, 0, bytes([i]) * n) for i in (1, 2, 3)], "image_no int, comp int, data binary"), path, h)
-    stream = spark.readStream.format("rasterseq").option("maxImagesPerTrigger", "2").load(path).select("image_no", "comp", "data")
+    stream = spark.readStream.format("rasterseq").option("imagesPerPartition", "2").load(path).select("image_no", "comp", "data")
     clean = {k: v for k, v in h.items() if k != "status"} | {"nr_images": 0}
     q = stream.writeStream.format("rasterseq").option("header", repr(clean)).option("path", out).option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
