@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import itertools
 from collections.abc import Iterator
 
@@ -15,6 +16,10 @@ from framelake.llm.common import chains, checkpointed, components, forest, looku
 
 #: Permutations of the sketch that estimates similarity.
 SKETCH = 128
+#: Pairs of fingerprints that are compared at once.
+PAIRS = 1_000_000
+#: Tiles that wide_links() makes at least, and the fewest and the most rows of a tile.
+PARTS, LEAST, MOST = 16, 1024, 262_144
 
 
 def shingle_hashes(text: bytes, k: int, seed: int = 42) -> np.ndarray:
@@ -83,6 +88,77 @@ def _cell(fp: F.Column, masks: list[int], width: int) -> F.Column:
     return out.cast("long")
 
 
+def _linked(own: tuple, other: tuple, radius: int, least: int) -> pd.DataFrame:
+    """Chains of what two tiles link. A tile: numbers, fingerprints and sketches (None if least is 0), by population count."""
+    (ids, a, sa), (more, b, sb) = own, other
+    pa, pb = np.bitwise_count(a).astype(np.int64), np.bitwise_count(b).astype(np.int64)
+    names, at = np.unique(np.concatenate([ids, more]), return_inverse=True)
+    left, right, label = at[: len(a)], at[len(a) :], np.arange(len(names))
+    i = 0
+    while i < len(a):
+        step = max(1, min(512, PAIRS // max(1, len(b))))
+        lo, hi = np.searchsorted(pb, pa[i] - radius), np.searchsorted(pb, pa[min(i + step, len(pa)) - 1] + radius, side="right")
+        x, y = np.nonzero(np.bitwise_count(a[i : i + step, None] ^ b[None, lo:hi]) <= radius)
+        u, v = i + x, lo + y
+        i += step
+        new = label[left[u]] != label[right[v]]  # pairs that are linked already need no look
+        u, v = u[new], v[new]
+        for j in range(0, len(u), 65536):
+            c, d = u[j : j + 65536], v[j : j + 65536]
+            if least:
+                same = (sa[c] == sb[d]).sum(axis=1) >= least
+                c, d = c[same], d[same]
+            if len(c):
+                label = forest(len(names), left[c], right[d], label)
+    return chains(names, label)
+
+
+def wide_links(points: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
+    """As links(), for a radius at which cells would not tell fingerprints apart.
+
+    Fingerprints are put in the order of their population counts (a histogram of 65 counts is all that the driver sees) and cut into
+    tiles, PARTS of them or as many as keep a tile at MOST rows. A tile is one row, packed, so a pair of tiles costs two rows to
+    shuffle; pairs whose population counts differ beyond the radius are not made.
+    """
+    seen = {r["ones"]: r["n"] for r in points.groupBy(F.bit_count("fp").alias("ones")).agg(F.count("*").alias("n")).collect()}
+    starts = [0, *itertools.accumulate(seen.get(p, 0) for p in range(65))]
+    n = starts[65]
+    size = min(MOST, max(LEAST, -(-n // PARTS)))
+    least = int(np.ceil((similarity - 1 / 256) / (1 - 1 / 256) * SKETCH)) if similarity else 0
+    ones = (F.bit_count("fp") + 1).cast("int")
+    start, count = F.array(*[F.lit(x) for x in starts[:65]])[ones - 1], F.array(*[F.lit(seen.get(p, 0)) for p in range(65)])[ones - 1]
+    place = start + F.pmod(F.xxhash64("node"), F.lit(2**20)) / F.lit(float(2**20)) * count
+    rows = points.withColumn("tile", F.floor(place / size).cast("int"))
+
+    def ones_at(position: int) -> int:
+        return bisect.bisect_right(starts, min(position, n - 1)) - 1
+
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        fp, tile = rows["fp"].to_numpy(np.int64), int(rows["tile"].iloc[0])
+        order = np.argsort(np.bitwise_count(fp.view(np.uint64)), kind="stable")
+        first = starts[max(0, ones_at(tile * size) - radius)] // size
+        last = -(-starts[min(65, ones_at((tile + 1) * size - 1) + radius + 1)] // size) - 1
+        out = {"tile": tile, "first": min(first, tile), "last": max(last, tile), "tags": rows["node"].to_numpy(np.int64)[order].tobytes(), "fps": fp[order].tobytes()}
+        if similarity:
+            sketches = rows["sketch"].to_numpy()
+            out["sketches"] = b"".join(sketches[order])
+        return pd.DataFrame([out])
+
+    blobs = ["tags", "fps", *["sketches"] * bool(similarity)]
+    cut = checkpointed(rows.groupBy("tile").applyInPandas(packed, "tile int, first int, last int, " + ", ".join(f"{x} binary" for x in blobs)))
+    tile = F.col("tile")
+    pairs = cut.select(tile.alias("i"), F.explode(F.sequence("tile", "last")).alias("j"), "tile", *blobs)
+    pairs = pairs.unionByName(cut.filter("first < tile").select(F.explode(F.sequence(F.col("first"), tile - 1)).alias("i"), tile.alias("j"), "tile", *blobs))
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        at = {r.tile: (np.frombuffer(r.tags, np.int64), np.frombuffer(r.fps, np.uint64), np.frombuffer(r.sketches, np.uint8).reshape(-1, SKETCH) if similarity else None) for r in rows.itertuples()}
+        if key[0] not in at or key[1] not in at:
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)  # a tile that got no rows
+        return _linked(at[key[0]], at[key[1]], radius, least)
+
+    return pairs.groupBy("i", "j").applyInPandas(compare, "a long, b long")
+
+
 def links(points: DataFrame, radius: int = 3, blocks: int = 3, width: int = 1, size: int = 4096, similarity: float = 0.0) -> DataFrame:
     """Pairs (a, b) of node that connect the same nodes as all pairs within `radius` differing bits do.
 
@@ -112,34 +188,12 @@ def links(points: DataFrame, radius: int = 3, blocks: int = 3, width: int = 1, s
     least = int(np.ceil((similarity - 1 / 256) / (1 - 1 / 256) * SKETCH)) if similarity else 0
 
     def compare(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        ids = np.concatenate([own["tag"].to_numpy(np.int64), other["tag"].to_numpy(np.int64)])
-        a, b = own["fp"].to_numpy(np.int64).view(np.uint64), other["fp"].to_numpy(np.int64).view(np.uint64)
-        pa, pb = np.bitwise_count(a).astype(np.int64), np.bitwise_count(b).astype(np.int64)
-        oa, ob = np.argsort(pa, kind="stable"), np.argsort(pb, kind="stable")
-        pa, pb, sb = pa[oa], pb[ob], b[ob]
-        if similarity:
-            sk = [np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(-1, SKETCH) for x in (own, other)]
-        names, at = np.unique(ids, return_inverse=True)
-        label = np.arange(len(names))
-        for i in range(0, len(oa), 512):
-            part = oa[i : i + 512]
-            lo, hi = np.searchsorted(pb, pa[i] - radius), np.searchsorted(pb, pa[min(i + 512, len(pa)) - 1] + radius, side="right")
-            if lo >= hi:
-                continue
-            x, y = np.nonzero(np.bitwise_count(a[part][:, None] ^ sb[None, lo:hi]) <= radius)
-            u, v = part[x], ob[lo + y]
-            iu, iv = at[u], at[len(a) + v]
-            new = label[iu] != label[iv]  # pairs that are linked already need no look at
-            u, v, iu, iv = u[new], v[new], iu[new], iv[new]
-            for j in range(0, len(u), 65536) if similarity else ():
-                s = slice(j, j + 65536)
-                same = (sk[0][u[s]] == sk[1][v[s]]).sum(axis=1) >= least
-                ku, kv = iu[s][same], iv[s][same]
-                if len(ku):
-                    label = forest(len(names), ku, kv, label)
-            if not similarity and len(iu):
-                label = forest(len(names), iu, iv, label)
-        return chains(names, label)
+        sides = []
+        for x in (own, other):
+            fp = x["fp"].to_numpy(np.int64).view(np.uint64)
+            order = np.argsort(np.bitwise_count(fp), kind="stable")
+            sides.append((x["tag"].to_numpy(np.int64)[order], fp[order], np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(-1, SKETCH)[order] if similarity else None))
+        return _linked(*sides, radius, least)
 
     return tiles(residents, probes, size, compare, "a long, b long")
 
@@ -159,8 +213,8 @@ def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3, doc_id: str
     first = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_row"))
     # a node's number is the smallest row number in it: unique, whatever the ids are
     nodes = checkpointed(rows.groupBy(*key).agg(first.alias("_first"), F.min("_row").alias("node"), F.count("*").alias("_n")))
-    wide = radius > 6
-    found = links(nodes.select("node", *key), radius, 1 if wide else 3, radius if wide else 1, 8192 if wide else 4096, max(0.0, similarity))
+    find = wide_links if radius > 6 else links
+    found = find(nodes.select("node", *key), radius, similarity=max(0.0, similarity))
     label = components(checkpointed(found))
     label = checkpointed(label.join(nodes.select("node", "_first"), "node"))
     best = label.groupBy("root").agg(F.min("_first").alias("_best"))
