@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 from framelake.llm import ann, exact_dedup, licenses, mixing, packing, simhash, tokens, toxicity, urls, warc
-from framelake.llm.common import components
+from framelake.llm.common import components, forest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, _key string, size string"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -181,6 +181,18 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_wide_links(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAST", 100)  # several tiles
+    fp = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 2000)
+    fp[:200] = fp[200:400] ^ 0b111110001
+    df = spark.createDataFrame([(i * 3, int(x)) for i, x in enumerate(fp)], "node long, fp long")
+    got = simhash.wide_links(df, 16).toPandas() // 3
+    u = fp.view(np.uint64)
+    x, y = np.nonzero(np.bitwise_count(u[:, None] ^ u[None, :]) <= 16)
+    assert forest(2000, x, y).tolist() == forest(2000, got["a"].to_numpy(), got["b"].to_numpy()).tolist()
+    assert simhash.wide_links(df.limit(0), 16).count() == 0
+
+
 def test_near_dedup(spark, tmp_path):
     rng = random.Random(1)
     base = [" ".join(f"v{rng.randint(0, 5000)}" for _ in range(300)) for _ in range(12)]
