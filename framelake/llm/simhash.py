@@ -1,9 +1,10 @@
-"""SimHash near-duplicates by tiled exact comparison (operator 10)."""
+"""SimHash near-duplicates by tiled exact comparison (operator 10), and near-copies by the exact similarity of their shingles."""
 
 from __future__ import annotations
 
 import bisect
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,10 @@ SKETCH = 128
 PAIRS = 1_000_000
 #: Tiles that wide_links() makes at least, and the fewest and the most rows of a tile.
 PARTS, LEAST, MOST = 16, 1024, 262_144
+#: The chance that either prefilter of near_dedup() misses a pair of exactly the similarity asked for.
+MISSED = 1e-6
+#: Candidates whose shingles are verified at once (a tile of them), the mean of a cell, and the most cells.
+VERIFIED, CELL, CELLS = 512, 256, 65_536
 
 
 def shingle_hashes(text: bytes, k: int, seed: int = 42) -> np.ndarray:
@@ -63,20 +68,44 @@ def sketch(hashes: np.ndarray) -> bytes:
     return (low * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, similar: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, _row, fp (long; the bits as signed), and sketch over `similar`-word shingles if that isn't 0. Whole texts, no shuffle."""
+def reached(n: int, p: float, missed: float) -> int:
+    """As many of n trials, each of chance p, as succeed at least, but for a chance of `missed` at most."""
+    below = 0.0
+    for k in range(n + 1):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > missed:
+            return k
+    return n
+
+
+def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """_id, _row, fp (long; the bits as signed). Whole texts, no shuffle."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             raw = [t.encode(errors="surrogatepass") for t in b["text"]]
-            hashes = [shingle_hashes(t, k, seed) for t in raw]
-            out = b[["_id", "_row"]].assign(fp=np.array([simhash(h) for h in hashes], np.uint64).view(np.int64))
-            if similar:
-                out["sketch"] = [sketch(h if similar == k else shingle_hashes(t, similar, seed)) for t, h in zip(raw, hashes, strict=True)]
-            yield out
+            yield b[["_id", "_row"]].assign(fp=np.array([simhash(shingle_hashes(t, k, seed)) for t in raw], np.uint64).view(np.int64))
+
+    return _made(docs, make, "fp long", doc_id, text)
+
+
+def sketches(docs: DataFrame, k: int = 5, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """_id, _row, same (a digest of the set of shingles), sketch, fp (long: the lowest bits of 64 MinHashes). Whole texts, no shuffle."""
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.encode(errors="surrogatepass"), k, seed)) for t in b["text"]]
+            made = [sketch(h) for h in sets]
+            bits = np.frombuffer(b"".join(made), np.uint8).reshape(-1, SKETCH)[:, :64] & 1
+            fp = np.packbits(bits, axis=1, bitorder="little").view("<i8")[:, 0]
+            yield b[["_id", "_row"]].assign(same=[xxhash.xxh3_128_digest(h.tobytes()) for h in sets], sketch=made, fp=fp)
+
+    return _made(docs, make, "same binary, sketch binary, fp long", doc_id, text)
 
+
+def _made(docs: DataFrame, make, schema: str, doc_id: str, text: str) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("string").alias("_id"), F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    out = rows.mapInPandas(make, "_id string, _row long, fp long" + ", sketch binary" * bool(similar))
+    out = rows.mapInPandas(make, "_id string, _row long, " + schema)
     return out.withColumn("_id", F.col("_id").cast(docs.schema[doc_id].dataType))
 
 
@@ -113,8 +142,9 @@ def _linked(own: tuple, other: tuple, radius: int, least: int) -> pd.DataFrame:
     return chains(names, label)
 
 
-def wide_links(points: DataFrame, radius: int, similarity: float = 0.0) -> DataFrame:
-    """As links(), for a radius at which cells would not tell fingerprints apart.
+def wide_links(points: DataFrame, radius: int, least: int = 0) -> DataFrame:
+    """As links(), for a radius at which cells would not tell fingerprints apart. With `least`, points has `sketch` too, and a
+    pair also needs so many equal bytes of it.
 
     Fingerprints are put in the order of their population counts (a histogram of 65 counts is all that the driver sees) and cut into
     tiles, PARTS of them or as many as keep a tile at MOST rows. A tile is one row, packed, so a pair of tiles costs two rows to
@@ -124,7 +154,6 @@ def wide_links(points: DataFrame, radius: int, similarity: float = 0.0) -> DataF
     starts = [0, *itertools.accumulate(seen.get(p, 0) for p in range(65))]
     n = starts[65]
     size = min(MOST, max(LEAST, -(-n // PARTS)))
-    least = int(np.ceil((similarity - 1 / 256) / (1 - 1 / 256) * SKETCH)) if similarity else 0
     ones = (F.bit_count("fp") + 1).cast("int")
     start, count = F.array(*[F.lit(x) for x in starts[:65]])[ones - 1], F.array(*[F.lit(seen.get(p, 0)) for p in range(65)])[ones - 1]
     place = start + F.pmod(F.xxhash64("node"), F.lit(2**20)) / F.lit(float(2**20)) * count
@@ -139,19 +168,19 @@ def wide_links(points: DataFrame, radius: int, similarity: float = 0.0) -> DataF
         first = starts[max(0, ones_at(tile * size) - radius)] // size
         last = -(-starts[min(65, ones_at((tile + 1) * size - 1) + radius + 1)] // size) - 1
         out = {"tile": tile, "first": min(first, tile), "last": max(last, tile), "tags": rows["node"].to_numpy(np.int64)[order].tobytes(), "fps": fp[order].tobytes()}
-        if similarity:
+        if least:
             sketches = rows["sketch"].to_numpy()
             out["sketches"] = b"".join(sketches[order])
         return pd.DataFrame([out])
 
-    blobs = ["tags", "fps", *["sketches"] * bool(similarity)]
+    blobs = ["tags", "fps", *["sketches"] * bool(least)]
     cut = checkpointed(rows.groupBy("tile").applyInPandas(packed, "tile int, first int, last int, " + ", ".join(f"{x} binary" for x in blobs)))
     tile = F.col("tile")
     pairs = cut.select(tile.alias("i"), F.explode(F.sequence("tile", "last")).alias("j"), "tile", *blobs)
     pairs = pairs.unionByName(cut.filter("first < tile").select(F.explode(F.sequence(F.col("first"), tile - 1)).alias("i"), tile.alias("j"), "tile", *blobs))
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at = {r.tile: (np.frombuffer(r.tags, np.int64), np.frombuffer(r.fps, np.uint64), np.frombuffer(r.sketches, np.uint8).reshape(-1, SKETCH) if similarity else None) for r in rows.itertuples()}
+        at = {r.tile: (np.frombuffer(r.tags, np.int64), np.frombuffer(r.fps, np.uint64), np.frombuffer(r.sketches, np.uint8).reshape(-1, SKETCH) if least else None) for r in rows.itertuples()}
         if key[0] not in at or key[1] not in at:
             return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)  # a tile that got no rows
         return _linked(at[key[0]], at[key[1]], radius, least)
@@ -159,10 +188,10 @@ def wide_links(points: DataFrame, radius: int, similarity: float = 0.0) -> DataF
     return pairs.groupBy("i", "j").applyInPandas(compare, "a long, b long")
 
 
-def links(points: DataFrame, radius: int = 3, blocks: int = 3, width: int = 1, size: int = 4096, similarity: float = 0.0) -> DataFrame:
+def links(points: DataFrame, radius: int = 3, blocks: int = 3, width: int = 1, size: int = 4096) -> DataFrame:
     """Pairs (a, b) of node that connect the same nodes as all pairs within `radius` differing bits do.
 
-    points: node (long, unique), fp (long), and sketch if similarity isn't 0; then a pair also needs that estimated similarity.
+    points: node (long, unique), fp (long).
     Fingerprints are dealt into cells by the population counts of `blocks` parts of the 64 bits, in steps of `width`: within the radius,
     these counts differ by no more than it in sum, so other pairs of cells are skipped, and each cell meets its neighbours
     only. Within a cell, tiles of numpy compare all with all by exclusive-or and bit count, and skip where whole
@@ -180,67 +209,122 @@ def links(points: DataFrame, radius: int = 3, blocks: int = 3, width: int = 1, s
         for d in s:
             n = n * 64 + d
         deltas.append(n)
-    with_sketch = ["sketch"] if similarity else []
-    cols = [F.col("node").alias("tag"), "fp", *with_sketch]
+    cols = [F.col("node").alias("tag"), "fp"]
     cell = _cell(F.col("fp"), masks, width)
     residents = points.select(cell.alias("cell"), *cols)
     probes = points.select(F.explode(F.transform(F.array(*[F.lit(d).cast("long") for d in deltas]), lambda d: cell + d)).alias("cell"), *cols)
-    least = int(np.ceil((similarity - 1 / 256) / (1 - 1 / 256) * SKETCH)) if similarity else 0
 
     def compare(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
         sides = []
         for x in (own, other):
             fp = x["fp"].to_numpy(np.int64).view(np.uint64)
             order = np.argsort(np.bitwise_count(fp), kind="stable")
-            sides.append((x["tag"].to_numpy(np.int64)[order], fp[order], np.frombuffer(b"".join(x["sketch"]), np.uint8).reshape(-1, SKETCH)[order] if similarity else None))
-        return _linked(*sides, radius, least)
+            sides.append((x["tag"].to_numpy(np.int64)[order], fp[order], None))
+        return _linked(*sides, radius, 0)
 
     return tiles(residents, probes, size, compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.0, similar: int = 5) -> DataFrame:
+def simhash_components(docs: DataFrame, k: int = 3, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id, kept.
 
-    Documents link whose fingerprints of k-word shingles differ in `radius` bits or fewer and, if `similarity` isn't 0, whose
-    `similar`-word shingles are estimated to be so similar. component_id is the smallest doc_id that is reached, its own included;
-    kept marks one row of each component (the first with that id).
-    Equal fingerprints (with equal sketches) are one node, so copies cost no comparison; their rows are joined by a lookup
+    Documents link whose fingerprints of k-word shingles differ in `radius` bits or fewer. component_id is the smallest doc_id that
+    is reached, its own included; kept marks one row of each component (the first with that id).
+    Equal fingerprints are one node, so copies cost no comparison; their rows are joined by a lookup
     that broadcasts hot fingerprints only. Null and empty texts have fingerprint zero and link as any other; null ids come last, and
     a component of null ids alone has a null component_id. An empty table gives none; other columns are not read.
     """
-    rows = checkpointed(fingerprints(docs, k, similar=similar if similarity else 0, doc_id=doc_id, text=text))
-    key = ["fp", "sketch"] if similarity else ["fp"]
-    first = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_row"))
-    # a node's number is the smallest row number in it: unique, whatever the ids are
-    nodes = checkpointed(rows.groupBy(*key).agg(first.alias("_first"), F.min("_row").alias("node"), F.count("*").alias("_n")))
+    rows = checkpointed(fingerprints(docs, k, doc_id=doc_id, text=text))
+    nodes = _nodes(rows, "fp")
     find = wide_links if radius > 6 else links
-    found = find(nodes.select("node", *key), radius, similarity=max(0.0, similarity))
-    label = components(checkpointed(found))
+    out = _named(rows, nodes, components(checkpointed(find(nodes.select("node", "fp"), radius))), "fp")
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return out.select(F.col("_id").alias("doc_id"), digits.alias("fingerprint"), F.col("_best._id").alias("component_id"), (F.col("_best._row") == F.col("_row")).alias("kept"), "_row")
+
+
+def _nodes(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    """A row for each key: its first document, how many it has, and node, the smallest row number in it (unique, whatever the ids are)."""
+    first = F.min(F.struct(F.col("_id").isNull().alias("_null"), "_id", "_row"))
+    return checkpointed(rows.groupBy(key, *more).agg(first.alias("_first"), F.min("_row").alias("node"), F.count("*").alias("_n")))
+
+
+def _named(rows: DataFrame, nodes: DataFrame, label: DataFrame, key: str) -> DataFrame:
+    """Adds _best, the first document of its component, to each row. label: node, root."""
     label = checkpointed(label.join(nodes.select("node", "_first"), "node"))
     best = label.groupBy("root").agg(F.min("_first").alias("_best"))
     label = checkpointed(label.join(checkpointed(best), "root").select("node", "_best"))
-    named = nodes.join(label, "node", "left").select(*key, F.coalesce("_best", "_first").alias("_best"), "_n")
-    if similarity:
-        named, rows = named.withColumn("_key", F.struct(*key)).drop(*key), rows.withColumn("_key", F.struct(*key))
-        out = lookup(rows.drop("sketch"), checkpointed(named), "_key", "_n", _count(rows))
-    else:
-        out = lookup(rows, checkpointed(named), "fp", "_n", _count(rows))
-    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return out.select(F.col("_id").alias("doc_id"), digits.alias("fingerprint"), F.col("_best._id").alias("component_id"), (F.col("_best._row") == F.col("_row")).alias("kept"), "_row")
+    named = nodes.join(label, "node", "left").select(key, F.coalesce("_best", "_first").alias("_best"), "_n")
+    return lookup(rows, checkpointed(named), key, "_n", rows.count())
+
 
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that Jaccard similarity."""
+    few, many = sorted((len(a), len(b)))
+    if not many or few / many < similarity:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (few + many - both) >= similarity
 
-def _count(rows: DataFrame) -> int:
-    return rows.count()
 
+def verified_links(docs: DataFrame, label: DataFrame, similarity: float, similar: int, least: int, text: str = "text") -> DataFrame:
+    """Pairs (a, b) of node that connect the same nodes as all pairs within a root that have that similarity do.
 
-def near_dedup(docs: DataFrame, k: int = 3, radius: int = 16, similarity: float = 0.8, similar: int = 5) -> DataFrame:
-    """The documents without near-copies: the first of each component of simhash_components() stays.
+    label: node (a row's place in docs) and root, of candidates only; the texts of these are read again and made sorted sets of
+    shingle hashes, of 64 bits. Roots are dealt into cells; a cell of over VERIFIED nodes is cut into tiles, and each pair of
+    tiles is one group, so a task holds no more than two tiles, however many candidates a root has. Pairs of a root with fewer
+    than `least` equal bytes of the sketch, and pairs that are linked already, need no look.
+    """
 
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.encode(errors="surrogatepass"), similar)) for t in b["text"]]
+            yield b[["node", "root"]].assign(sketch=[sketch(h) for h in sets], shingles=[h.tobytes() for h in sets])
+
+    n = label.count()
+    texts = docs.select(F.monotonically_increasing_id().alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(label) if n <= 50_000 else label, "node").select("node", "root", "text")
+    rows = rows.mapInPandas(make, "node long, root long, sketch binary, shingles binary")
+    rows = checkpointed(rows.withColumn("cell", F.pmod(F.xxhash64("root"), F.lit(min(CELLS, -(-n // CELL) or 1)))))
+    cells = checkpointed(rows.groupBy("cell").agg(F.ceil(F.count("*") / VERIFIED).cast("int").alias("_t")))
+    rows = rows.join(F.broadcast(cells), "cell").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("_t")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_t") - 1)))
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["root", "node"])
+        ids, root, tile = (rows[c].to_numpy(np.int64) for c in ("node", "root", "tile"))
+        made = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, SKETCH)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        ends, label = np.searchsorted(root, root, side="right"), np.arange(len(ids))
+        across = tile[0] != tile[-1] or len(np.unique(tile)) > 1  # pairs within a tile are looked at where it meets itself
+        for u in range(len(ids)):
+            v = np.arange(u + 1, ends[u])
+            if across:
+                v = v[tile[v] != tile[u]]
+            for w in v[(made[v] == made[u]).sum(axis=1) >= least].tolist():
+                if label[u] != label[w] and _alike(sets[u], sets[w], similarity):
+                    low, high = sorted((label[u], label[w]))
+                    label[label == high] = low
+        return chains(ids, label)
+
+    return rows.groupBy("cell", F.least("tile", "_o").alias("i"), F.greatest("tile", "_o").alias("j")).applyInPandas(verify, "a long, b long")
+
+
+def near_dedup(docs: DataFrame, similarity: float = 0.8, similar: int = 5) -> DataFrame:
+    """The documents without near-copies: the first of each component stays. Documents link whose sets of `similar`-word shingles
+    have a Jaccard similarity of `similarity` or more.
+
+    Equal sets are one node. Candidates come from two prefilters, the lowest bits of 64 MinHashes and the bytes of 128, each so wide that
+    it misses a pair with a chance of MISSED at most; within what they connect, every candidate pair is verified on the sets themselves.
     Rows are told by their place in docs, so docs must be a table that reads the same twice (a file or a checkpoint).
     """
     cols = docs.columns
     marked = docs.withColumn("_place", F.monotonically_increasing_id())
-    drop = simhash_components(docs, k, radius, similarity=similarity - 0.04, similar=similar).filter(~F.col("kept")).select(F.col("_row").alias("_place"))
-    drop = checkpointed(drop)
+    radius, least = 64 - reached(64, (1 + similarity) / 2, MISSED), reached(SKETCH, similarity + (1 - similarity) / 256, MISSED)
+    rows = checkpointed(sketches(docs, similar))
+    nodes = _nodes(rows, "same", "sketch", "fp")
+    maybe = checkpointed(components(checkpointed(wide_links(nodes.select("node", "fp", "sketch"), radius, least))))
+    label = components(checkpointed(verified_links(docs, maybe, similarity, similar, least)))
+    out = _named(rows.select("_id", "_row", "same"), nodes, label, "same")
+    drop = checkpointed(out.filter(F.col("_best._row") != F.col("_row")).select(F.col("_row").alias("_place")))
     small = drop.limit(50_001).count() <= 50_000
     return marked.join(F.broadcast(drop) if small else drop, "_place", "left_anti").select(*[F.col(f"`{c}`") for c in cols])

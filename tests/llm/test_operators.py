@@ -202,6 +202,23 @@ def test_near_dedup(spark, tmp_path):
     assert sorted(r["doc_id"] for r in left.collect()).__len__() == 12 and left.columns == ["doc_id", "text"]
 
 
+def test_near_dedup_is_exact(spark, tmp_path, monkeypatch):
+    """Pairs of similarity 0.79 stay and those of 0.82 go, by the shingles and not by an estimate; so do large groups, over several tiles."""
+    monkeypatch.setattr(simhash, "VERIFIED", 8)
+    rng = random.Random(2)
+    base = [[f"v{rng.randint(0, 10**6)}" for _ in range(300)] for _ in range(80)]
+    edited = lambda t, n, new: [new if k % 40 == 20 and k < 40 * n else w for k, w in enumerate(t)]
+    close = [edited(t, 6 if i % 2 else 7, "new") for i, t in enumerate(base)]
+    crowd = [edited(base[1], 1, f"new{i}") for i in range(40)]
+    data = base + close + crowd
+    grams = [{tuple(t[k : k + 5]) for k in range(296)} for t in data]
+    x, y = np.array([(i, j) for i in range(len(data)) for j in range(i) if len(grams[i] & grams[j]) / len(grams[i] | grams[j]) >= 0.8]).T
+    want = sorted(set(forest(len(data), x, y).tolist()))
+    assert len(want) == 120
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(data)], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    assert sorted(r["doc_id"] for r in simhash.near_dedup(spark.read.parquet(str(tmp_path / "d"))).collect()) == want
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16)).astype(np.float32)
