@@ -10,17 +10,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import checkpointed
+from framelake.llm.common import checkpointed, least_hashed
 
 #: Labelled documents that a model is learned from at most: those with the smallest hashes of their ids.
 LABELLED = 20_000
-#: Entries of a learned lexicon at most.
-LEXICON = 4_000
-#: Phrases in which a match does not count.
+#: Chance of a pattern (or exception) that is chosen by accident, over all that are looked at.
+ACCIDENT = 0.05
+#: Phrases in which a match does not count, besides those that are learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "stupid question", "idiot proof", "scum bucket")
 
 _LOOKS = {
@@ -35,6 +34,7 @@ _LATIN = bytes(ord(_PLAIN.get(c, c).replace("l", "i")) if len(c := chr(i).lower(
 _DIGITS = str.maketrans("0134567892@$!|", "oieasgtbgzasii")
 _STANDS = re.compile(r"(?<=[^\W\d_])[0-9]+|[0-9]+(?=[^\W\d_])|(?<![^\W_])[@$](?=[^\W\d_])|(?<=[^\W_])[@$!|](?=[^\W\d_])")
 _WORD = re.compile(r"[^\W\d_]+")
+_NEXT, _BEFORE = re.compile(r" ([^\W\d_]+)"), re.compile(r"(?<![^\W\d_])([^\W\d_]+) \Z")
 
 
 def fold(text: str) -> str:
@@ -76,11 +76,17 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not entries
 
-    def weight(self, text: str) -> tuple[float, int]:
-        """Sum of the weights of what matches outside exception phrases, and the number of matches."""
+    def matches(self, text: str) -> tuple[dict[int, tuple[float, int]], list[tuple[int, int]]]:
+        """Of a folded text: start to (weight, last place) of what matches, and the exception phrases (start, last place) in it.
+
+        A pattern with a star matches at the start of a word, another a whole word. Of the patterns that match at one start the heaviest
+        counts. Phrases match whole words.
+        """
+        hits: dict[int, tuple[float, int]] = {}
+        free: list[tuple[int, int]] = []
         if self.empty:
-            return 0.0, 0
-        hits, free, last = {}, [], len(text) - 1
+            return hits, free
+        last = len(text) - 1
         for end, (n, ways) in self.automaton.iter(text):
             start = end - n + 1
             if start and text[start - 1].isalpha():
@@ -92,6 +98,11 @@ class Matcher:
                         free.append((start, end))
                 elif (starts or whole) and weight > hits.get(start, (0, 0))[0]:
                     hits[start] = (weight, end)
+        return hits, free
+
+    def weight(self, text: str) -> tuple[float, int]:
+        """Sum of the weights of what matches outside exception phrases, and the number of matches."""
+        hits, free = self.matches(text)
         if free:
             hits = {s: x for s, x in hits.items() if not any(a <= s <= b for a, b in free)}
         return sum(w for w, _ in hits.values()), len(hits)
@@ -113,13 +124,21 @@ def matcher(model: Model) -> Matcher:
     return Matcher(model)
 
 
-def _patterns(words: Sequence[str], shortest: int = 4, longest: int = 7) -> set[str]:
-    out = {w for w in words if 3 <= len(w) <= 24}
+def _patterns(words: Sequence[str], shortest: int = 4, longest: int = 10) -> set[str]:
+    """Whole words of two letters or more, and starts of words."""
+    out = {w for w in words if len(w) > 1}
     for w in words:
         out.update(w[:n] + "*" for n in range(shortest, min(longest, len(w)) + 1))
     return out
 
 
+def _surprise(hits: Column, n: Column, rate: float) -> Column:
+    """At least so many hits of n at this rate have a chance of exp(-_surprise) or less (Chernoff); 0 where hits are no more than the rate says."""
+    share = hits / n
+    part = lambda x, y: F.when(x > 0, x * F.log(x / F.lit(y))).otherwise(0.0)
+    return F.when(share > rate, n * (part(share, rate) + part(1 - share, 1 - rate))).otherwise(0.0)
+
+
 def _choose(counts: pd.DataFrame, toxic: int, clean: int, least: float) -> list[tuple[str, float]]:
     """Patterns with their log-odds; of those that start alike the shortest that is as good as any that it covers."""
     w = np.log((counts["bad"] + 0.5) / (toxic + 1)) - np.log((counts["n"] - counts["bad"] + 0.5) / (clean + 1))
@@ -149,58 +168,105 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, least: float = 3.5, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
     """A model from labels (doc_id, toxic): at most `most` labelled documents, those with the smallest hashes of their ids.
 
-    Words and starts of words that are in many toxic and few other documents, by families of near-copies (which share their smallest word
-    hashes) and not by documents, are the lexicon: log-odds of `least` or more, LEXICON entries at most. A logistic
-    regression on the same documents then turns sum and density of matched weights into a probability.
-    Null labels and ids don't count; an id with several labels is toxic if one says so. Without toxic labels every score is 0.
+    The lexicon: words and starts of words whose log-odds are `least` or more and whose share of toxic documents is beyond chance (ACCIDENT,
+    over all patterns that there are). Documents with equal sets of words count once. Exceptions, besides those given: phrases of a match and the
+    word before or after it that are in clean documents far more often than the match is, by the same rule. A logistic
+    regression on the same documents then turns sum and density of matched weights into a probability. Nothing depends on
+    the partitioning. Texts of labelled documents are read once and kept in the shared folder.
+    Null labels and ids don't count; an id with several labels is toxic if one says so, and with several rows each is a document. Without
+    toxic labels every score is 0.
     """
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = checkpointed(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    known = checkpointed(least_hashed(checkpointed(known), "doc_id", most))
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    sample = checkpointed(sample.select("text", "toxic"))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        h = xxhash.xxh64_intdigest
         for b in batches:
-            found = [set(_WORD.findall(fold(t))) for t in b["text"]]
-            family = np.array([min(map(h, x), default=0) for x in found], np.uint64).view(np.int64)
-            yield pd.DataFrame({"family": family, "toxic": b["toxic"], "words": [sorted(x) for x in found]})
+            yield pd.DataFrame({"toxic": b["toxic"], "words": ["\n".join(sorted(set(_WORD.findall(fold(t))))) for t in b["text"]]})
 
-    rows = sample.mapInPandas(words, "family long, toxic int, words array<string>").dropDuplicates(["family", "toxic"])
-    rows = checkpointed(rows)
+    rows = checkpointed(sample.mapInPandas(words, "toxic int, words string").distinct())
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     nothing = Model((), (), -700.0, (0.0, 0.0))
     if not toxic:
         return nothing
-    enough = max(3, round(0.015 * toxic))
+    rate = toxic / (toxic + clean)
+
+    def toxic_ones(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _counted(((1, _patterns(x.split("\n"))) for b in batches for x in b["words"]), "pattern")
+
+    found = _summed(rows.filter("toxic = 1").mapInPandas(toxic_ones, "pattern string, n long, bad long"), "pattern")
+    beyond = np.log(max(1, found.count()) / ACCIDENT)
+    # with fewer toxic documents than that, a pattern isn't beyond chance even if no clean one has it
+    maybe = frozenset(r["pattern"] for r in found.filter(F.col("bad") * F.lit(-np.log(rate)) >= beyond).select("pattern").collect()) if clean else frozenset()
+    if clean and not maybe:
+        return nothing
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n: Counter = Counter()
-        bad: Counter = Counter()
-        for b in batches:
-            for y, x in zip(b["toxic"], b["words"], strict=True):
-                found = _patterns(x)
-                n.update(found)
-                if y:
-                    bad.update(found)
-        yield pd.DataFrame({"pattern": list(n), "n": list(n.values()), "bad": [bad[p] for p in n]})
-
-    per = rows.select("toxic", "words").mapInPandas(counts, "pattern string, n long, bad long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    per = per.filter((F.col("bad") >= enough) & (F.col("bad") * clean > (F.col("n") - F.col("bad")) * toxic * 8)).orderBy(F.desc("bad"), "pattern").limit(LEXICON)
+        yield from _counted(((y, _patterns(x.split("\n")) & maybe) for b in batches for y, x in zip(b["toxic"], b["words"], strict=True)), "pattern")
+
+    per = _summed(rows.mapInPandas(counts, "pattern string, n long, bad long"), "pattern") if clean else found
+    per = per.filter((F.col("bad") * clean > (F.col("n") - F.col("bad")) * toxic * 8) & (_surprise(F.col("bad"), F.col("n"), rate) >= beyond)) if clean else per.filter("bad > 1")
     lexicon = tuple(_choose(per.toPandas(), toxic, clean, least))
     if not lexicon:
         return nothing
     model = Model(lexicon, tuple(exceptions), 0.0, (1.0, 1.0))
 
+    def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _counted(((y, _around(matcher(model), fold(t))) for b in batches for y, t in zip(b["toxic"], b["text"], strict=True)), "phrase")
+
+    if clean:
+        per = _summed(sample.mapInPandas(phrases, "phrase string, n long, bad long"), "phrase")
+        matched = per.filter("phrase LIKE '%* *%'").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+        if matched["n"] and matched["bad"]:
+            good = F.col("n") - F.col("bad")
+            beyond = np.log(per.count() / ACCIDENT)
+            per = per.filter("phrase NOT LIKE '%* *%'").filter((good >= 4 * F.col("bad")) & (_surprise(good, F.col("n"), 1 - matched["bad"] / matched["n"]) >= beyond))
+            model = Model(lexicon, (*exceptions, *sorted(r["phrase"] for r in per.collect())), 0.0, (1.0, 1.0))
+
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = matcher(model).features
         for b in batches:
             x = np.array([f(t) for t in b["text"]], np.float64).reshape(-1, 2)
             yield pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "toxic": b["toxic"]})
 
-    x = sample.mapInPandas(features, "a double, b double, toxic int").toPandas()
+    x = sample.mapInPandas(features, "a double, b double, toxic int").toPandas().sort_values(["a", "b", "toxic"])
     bias, *slopes = _fit(x[["a", "b"]].to_numpy(), x["toxic"].to_numpy(np.float64))
-    return Model(lexicon, tuple(exceptions), float(bias), tuple(map(float, slopes)))
+    return Model(model.lexicon, model.exceptions, float(bias), tuple(map(float, slopes)))
+
+
+def _around(m: Matcher, text: str) -> set[str]:
+    """Phrases of a match and a word beside it, on one line; and `* *` if there is any match (its count is that of documents with one)."""
+    hits, free = m.matches(text)
+    out = {"* *"} if hits else set()
+    for start in hits:
+        if any(a <= start <= b for a, b in free):
+            continue
+        own = _WORD.match(text, start)
+        after = _NEXT.match(text, own.end())
+        before = _BEFORE.search(text[max(0, start - 64) : start])
+        if after:
+            out.add(f"{own[0]} {after[1]}")
+        if before:
+            out.add(f"{before[1]} {own[0]}")
+    return out
+
+
+def _counted(rows: Iterator[tuple[int, set[str]]], name: str) -> Iterator[pd.DataFrame]:
+    """For each string the number of rows and of toxic rows that have it; no frame where there are no rows."""
+    n: Counter = Counter()
+    bad: Counter = Counter()
+    for y, found in rows:
+        n.update(found)
+        if y:
+            bad.update(found)
+    if n:
+        yield pd.DataFrame({name: list(n), "n": list(n.values()), "bad": [bad[p] for p in n]})
+
+
+def _summed(counted: DataFrame, name: str) -> DataFrame:
+    return checkpointed(counted.groupBy(name).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
 
 
 def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,7 +287,7 @@ def score_toxicity(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
 
 
-def held_out(doc_id) -> F.Column:
+def held_out(doc_id: Column) -> Column:
     """Is this row kept from learning? crc32 of the id as text is divisible by 5; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
