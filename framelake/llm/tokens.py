@@ -26,12 +26,14 @@ class ByteBpe:
     """A byte-level BPE of a tokenizers .json file, with the merges done by tiktoken.
 
     That a merge's id is its rank is checked; so both libraries merge alike. Special strings in a text are special
-    tokens, as the file's library has it by default.
+    tokens, as the file's library has it by default. Unicode versions differ between libraries: a character that the split here takes for
+    another kind than the file's library does (seen once for each character) sends its text's split, and no more, to that library.
     """
 
     def __init__(self, path: str):
         import regex
         import tiktoken
+        from tokenizers.pre_tokenizers import ByteLevel
 
         spec = json.load(open(path))
         model, pre = spec["model"], spec["pre_tokenizer"]
@@ -50,6 +52,11 @@ class ByteBpe:
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
         self.bpe = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens=self.special)
         self.split = regex.compile(pattern).findall
+        self.slow_split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
+        self.made: dict[str, list[int]] = {}
+        self.same: set[str] = set()
+        self.odd: set[str] = set()
+        self.latin = not self._odd(set(map(chr, range(256))))
         self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.size = len(ranks) + len(self.special)
         self.whole = self._whole(ranks)
@@ -63,31 +70,64 @@ class ByteBpe:
                 texts[raw.decode()] = i
             except UnicodeDecodeError:
                 continue
-        return {t for t, i in texts.items() if self.bpe.encode_ordinary(t) == [i] and self.split(t) == [t]}
+        return {t for t, i in texts.items() if self.bpe._encode_single_piece(t) == [i] and self.split(t) == [t]}
+
+    def _odd(self, chars: set[str]) -> bool:
+        """Is one of these of another kind for the file's library? Letters join an a, numbers a 1, white space a tab, the rest an exclamation mark."""
+        for c in chars - self.same - self.odd:
+            alike = all(len(self.split(x + c)) == len(self.slow_split(x + c)) for x in "a1!\t")
+            (self.same if alike else self.odd).add(c)
+        return not self.odd.isdisjoint(chars)
+
+    def parts(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings, as the file's library splits it."""
+        if not self._plain(text) and self._odd(set(text)):
+            return [text[a:b] for _, (a, b) in self.slow_split(text)]
+        return self.split(text)
+
+    def _plain(self, text: str) -> bool:
+        if not self.latin:
+            return False
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return True
 
     def ids(self, text: str) -> np.ndarray:
         """Token ids (uint32) of the whole text."""
-        if self.specials is not None and self.specials.search(text):
+        special = self.specials is not None and self.specials.search(text) is not None
+        if not self._plain(text):  # that library's own split knows a third version
+            out: list[int] = []
+            at, made = 0, self.made
+            if len(made) > REMEMBERED:
+                made = self.made = {}
+            for m in [*(self.specials.finditer(text) if special else ()), None]:
+                for p in self.parts(text[at : m.start() if m else len(text)]):
+                    if p not in made:
+                        made[p] = self.bpe._encode_single_piece(p)
+                    out += made[p]
+                if m:
+                    out.append(self.special[m[0]])
+                    at = m.end()
+            return np.array(out, np.uint32)
+        if special:
             return np.array(self.bpe.encode(text, allowed_special="all"), np.uint32)
         return self.bpe.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
     def n(self, text: str) -> int:
         """Number of tokens: pre-tokens that are whole tokens count one, only the others are merged."""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return len(self.ids(text))  # letters newer than the split's tables would be split otherwise
         if self.specials is not None and self.specials.search(text):
             return len(self.specials.findall(text)) + sum(self.n(t) for t in self.specials.split(text))
         known = self.count
-        parts = self.split(text)
+        parts = self.parts(text)
         try:
             return sum([known[p] for p in parts])
         except KeyError:
             pass
         if len(known) > len(self.whole) + REMEMBERED:
             known = self.count = dict.fromkeys(self.whole, 1)
-        encode = self.bpe.encode_ordinary
+        encode = self.bpe._encode_single_piece
         for p in parts:
             if p not in known:
                 known[p] = len(encode(p))
