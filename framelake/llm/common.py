@@ -79,6 +79,29 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: str | None = None,
     return left.join(hot, key).unionByName(rest.join(right.filter(~is_hot), key, "left"))
 
 
+def without_places(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with whatever columns it has, but for those at the places (_place: monotonically_increasing_id) in gone.
+
+    gone should be checkpointed; docs must be a table that reads the same twice (a file or a checkpoint).
+    """
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), F.monotonically_increasing_id().alias("_place"))
+    small = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return held.join(F.broadcast(gone) if small else gone, "_place", "left_anti").select("_all.*")
+
+
+def prefixed(rows: DataFrame, order: Sequence[str], sums: dict[str, Column], n: int) -> DataFrame:
+    """Adds for each name in sums the sum over all rows before (0 for the first) in an order that has no ties. n: number of rows.
+
+    Rows are sorted by ranges of BROADCAST_ROWS; within these a window sums, and one over the ranges' totals gives what is before each.
+    """
+    p = checkpointed(rows.repartitionByRange(-(-n // BROADCAST_ROWS) or 1, *order).withColumn("_p", F.spark_partition_id()))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = p.groupBy("_p").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    base = per.select("_p", *[before(f"_{k}", Window.orderBy("_p")).alias(f"_{k}") for k in sums])
+    out = p.withColumns({k: before(c, Window.partitionBy("_p").orderBy(*order)) for k, c in sums.items()}).join(F.broadcast(base), "_p")
+    return out.withColumns({k: F.col(k) + F.col(f"_{k}") for k in sums}).drop("_p", *[f"_{k}" for k in sums])
+
+
 def least_hashed(df: DataFrame, key: str, k: int) -> DataFrame:
     """The k rows with the smallest hashes of key (all, if there are fewer). df should be checkpointed: it is read up to three times.
 

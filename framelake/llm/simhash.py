@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import chains, checkpointed, components, forest, lookup, tiles
+from framelake.llm.common import chains, checkpointed, components, forest, lookup, tiles, without_places
 
 #: Permutations of the sketch that estimates similarity.
 SKETCH = 128
@@ -317,8 +317,6 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, similar: int = 5) -> Da
     it misses a pair with a chance of MISSED at most; within what they connect, every candidate pair is verified on the sets themselves.
     Rows are told by their place in docs, so docs must be a table that reads the same twice (a file or a checkpoint).
     """
-    cols = docs.columns
-    marked = docs.withColumn("_place", F.monotonically_increasing_id())
     radius, least = 64 - reached(64, (1 + similarity) / 2, MISSED), reached(SKETCH, similarity + (1 - similarity) / 256, MISSED)
     rows = checkpointed(sketches(docs, similar))
     nodes = _nodes(rows, "same", "sketch", "fp")
@@ -326,5 +324,4 @@ def near_dedup(docs: DataFrame, similarity: float = 0.8, similar: int = 5) -> Da
     label = components(checkpointed(verified_links(docs, maybe, similarity, similar, least)))
     out = _named(rows.select("_id", "_row", "same"), nodes, label, "same")
     drop = checkpointed(out.filter(F.col("_best._row") != F.col("_row")).select(F.col("_row").alias("_place")))
-    small = drop.limit(50_001).count() <= 50_000
-    return marked.join(F.broadcast(drop) if small else drop, "_place", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    return without_places(docs, drop)
