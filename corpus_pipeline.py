@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.llm import mixing, packing, simhash, toxicity
-from framelake.llm.common import checkpointed, shared_dir
+from framelake.llm.common import checkpointed, shared_dir, without_places
 from framelake.llm.exact_dedup import exact_dedup
 
 
@@ -22,12 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (white space runs are one space) the one with the smallest doc_id stays."""
-    cols = docs.columns
-    marked = docs.withColumn("_place", F.monotonically_increasing_id())
-    found = exact_dedup(marked.select(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_place").alias("doc_id"), "text"))
+    own = docs.select(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("_place"))
+    found = exact_dedup(own.select(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_place").alias("doc_id"), "text"))
     gone = checkpointed(found.filter(~F.col("kept")).select(F.col("doc_id._place").alias("_place")))
-    small = gone.limit(50_001).count() <= 50_000
-    return marked.join(F.broadcast(gone) if small else gone, "_place", "left_anti").select(*cols)
+    return without_places(docs, gone)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
