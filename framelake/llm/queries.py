@@ -34,9 +34,9 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _read(spark, sf_dir, "labels")
-    bad = (F.col("toxic") == 1) | (F.col("quality") == 0)
-    out = urls.judge_urls(_read(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+    """Labels are of documents; a page's path ends with the number of the document that it shows, so the label is the page's outcome."""
+    pages = _read(spark, sf_dir, "pages")
+    out = urls.judge_urls(pages, urls.labelled_pages(pages, _read(spark, sf_dir, "labels")))
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -103,10 +103,11 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(epochs *
 
 _OP5_SQL = r"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-n AS (SELECT doc_id AS page_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+l AS (SELECT doc_id, max(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+n AS (SELECT page_id, max(bad) AS bad FROM p JOIN l ON l.doc_id = try_cast(regexp_extract(path, '/([0-9]{1,18})$', 1) AS BIGINT) WHERE page_id IS NOT NULL GROUP BY 1),
 h AS (SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad FROM p LEFT JOIN n USING (page_id) GROUP BY 1, 2, 3),
-g AS (SELECT (sum(bad) + 1.0) / (sum(n) + 2.0) AS p0 FROM h),
-s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(p0) AS q FROM h, g GROUP BY 1),
+g0 AS (SELECT (sum(bad) + 1.0) / (sum(n) + 2.0) AS p0 FROM h),
+s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(p0) AS q FROM h, g0 GROUP BY 1),
 sk AS (SELECT (sum(n * (bad / n - q) * (bad / n - q)) - sum(q * (1 - q))) / nullif(sum(n * q * (1 - q)) - sum(q * (1 - q)), 0) AS o FROM s WHERE n > 0),
 s1 AS (SELECT suffix, (bad + k * q) / (n + k) AS p1 FROM s, (SELECT coalesce(CASE WHEN o <= 0.001 THEN 1000.0 ELSE greatest(1.0, 1 / o - 1) END, 1000.0) AS k FROM sk)),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(p1) AS q FROM h JOIN s1 USING (suffix) GROUP BY 1, 2),
@@ -115,10 +116,13 @@ d1 AS (SELECT domain, (bad + k * q) / (n + k) AS p2 FROM d, (SELECT coalesce(CAS
 r AS (SELECT host, n, bad, p2 AS q FROM h JOIN d1 USING (domain)),
 rk AS (SELECT (sum(n * (bad / n - q) * (bad / n - q)) - sum(q * (1 - q))) / nullif(sum(n * q * (1 - q)) - sum(q * (1 - q)), 0) AS o FROM r WHERE n > 0),
 r1 AS (SELECT host, k, n + k AS m, (bad + k * q) / (n + k) AS mean FROM r, (SELECT coalesce(CASE WHEN o <= 0.001 THEN 1000.0 ELSE greatest(1.0, 1 / o - 1) END, 1000.0) AS k FROM rk)),
-v AS (SELECT host, mean - 1.645 * sqrt(mean * (1 - mean) / (m + 1)) AS lower_ FROM r1),
+ab AS (SELECT host, mean * m AS a, (1 - mean) * m AS b, abs(ln(mean / (1 - mean))) + 60 / (mean * m) + 20 * sqrt(1 / (mean * m) + 1 / ((1 - mean) * m)) AS far FROM r1),
+i AS (SELECT host, a, b, far, CAST(unnest(range(0, 20001)) AS INTEGER) AS k FROM ab),
+g AS (SELECT host, sum((CASE WHEN k IN (0, 20000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma(a + b) - lgamma(a) - lgamma(b) - (a + b) * ln(1 + exp(-far * k / 20000)) - a * far * k / 20000)) * any_value(far) / 60000 AS below FROM i GROUP BY host),
+v AS (SELECT host, below FROM g),
 u(rule, verdict, rhost, rpath) AS (VALUES ('org/', 'allow', 'org', '/'), ('example.org/es/', 'block', 'example.org', '/es/'), ('example.org/en/1', 'block', 'example.org', '/en/1'), ('com/fr/', 'allow', 'com', '/fr/'), ('com/de/', 'block', 'com', '/de/')),
 f AS (SELECT p.*, (SELECT max_by(rule, length(rule)) FROM u WHERE (p.host = rhost OR ends_with(p.host, '.' || rhost)) AND starts_with(p.path, rpath)) AS rule FROM p)
-SELECT page_id, host, path, f.rule, coalesce(u.verdict, CASE WHEN lower_ > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM f LEFT JOIN u ON f.rule = u.rule JOIN v USING (host)"""
+SELECT page_id, host, path, f.rule, coalesce(u.verdict, CASE WHEN below < 0.05 THEN 'block' ELSE 'allow' END) AS verdict FROM f LEFT JOIN u ON f.rule = u.rule JOIN v USING (host)"""
 
 _OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
