@@ -66,25 +66,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _op2_sql() -> str:
-    """Exact containment by brute force: every window that could be retrieved, against every template."""
-    import math
-
-    rows = []
-    for i, (name, passage) in enumerate(licenses.TEMPLATES):
-        w = licenses._words(passage)
-        rows.append((i, name, " ".join(w), max(8, 2 ** math.ceil(math.log2(len(w))))))
-    values = ", ".join(f"({i}, '{n}', '{w}', {length})" for i, n, w, length in rows)
-    marks = ", ".join(f"'{a}'" for a in licenses._anchors(licenses.TEMPLATES, 5, 0.8))
+    """Exact containment by brute force: each shingle of each text against those of each template, and windows at every start."""
+    values = ", ".join("({}, '{}', '{}')".format(i, name, passage.lower().replace("'", "''")) for i, (name, passage) in enumerate(licenses.TEMPLATES))
     return f"""
-    WITH t AS (SELECT i, license, length, list_distinct([array_to_string(list_slice(string_split(w, ' '), j, j + 4), ' ') FOR j IN range(1, greatest(len(string_split(w, ' ')) - 4, 1) + 1)]) AS ts FROM (VALUES {values}) v(i, license, w, length)),
-    l AS (SELECT DISTINCT length FROM t),
+    WITH p AS (SELECT i, license, regexp_extract_all(passage, '[a-z0-9]+') AS w FROM (VALUES {values}) v(i, license, passage)),
+    t AS (SELECT i, license, greatest(8, CAST(pow(2, ceil(log2(len(w)))) AS BIGINT)) AS length, unnest(list_distinct([array_to_string(list_slice(w, j, j + 4), ' ') FOR j IN range(1, greatest(len(w) - 4, 1) + 1)])) AS sh FROM p),
+    n AS (SELECT i, count(*) AS n FROM t GROUP BY i),
     d AS (SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
-    s AS (SELECT doc_id, rn, length, unnest(range(0, len(w), length // 2)) AS st, w FROM d, l WHERE list_has_any(w, [{marks}])),
-    x AS (SELECT doc_id, rn, length, st, list_slice(w, st + 1, st + length + length // 2) AS w FROM s),
-    y AS (SELECT doc_id, rn, length, st, list_distinct([array_to_string(list_slice(w, j, j + 4), ' ') FOR j IN range(1, greatest(len(w) - 4, 1) + 1)]) AS h FROM x WHERE list_has_any(w, [{marks}])),
-    z AS (SELECT doc_id, rn, license, st, len(list_intersect(h, ts)) / len(ts) AS containment FROM y JOIN t USING (length) WHERE list_has_any(h, ts)),
-    b AS (SELECT doc_id, rn, license, max(containment) AS containment FROM z WHERE containment >= 0.8 GROUP BY ALL)
-    SELECT b.doc_id, b.license, b.containment, CAST(min(st) AS BIGINT) AS first_word FROM b JOIN z USING (doc_id, rn, license, containment) GROUP BY b.doc_id, b.rn, b.license, b.containment"""
+    s AS (SELECT doc_id, rn, unnest(range(0, greatest(len(w) - 4, 1))) AS pos, unnest([array_to_string(list_slice(w, j, j + 4), ' ') FOR j IN range(1, greatest(len(w) - 4, 1) + 1)]) AS sh FROM d),
+    m AS (SELECT doc_id, rn, i, license, length, pos, sh FROM s JOIN t USING (sh)),
+    c AS (SELECT a.doc_id, a.rn, a.license, a.pos, count(DISTINCT b.sh) / any_value(n) AS containment FROM m a JOIN n USING (i) JOIN m b ON a.rn = b.rn AND a.i = b.i AND b.pos BETWEEN a.pos AND a.pos + a.length - 5 GROUP BY a.doc_id, a.rn, a.license, a.i, a.pos),
+    x AS (SELECT doc_id, rn, license, max(containment) AS containment FROM c WHERE containment >= 0.8 GROUP BY ALL)
+    SELECT x.doc_id, x.license, x.containment, CAST(min(pos) AS BIGINT) AS first_word FROM x JOIN c USING (doc_id, rn, license, containment) GROUP BY x.doc_id, x.rn, x.license, x.containment"""
 
 
 _OP4_SQL = r"""
