@@ -154,12 +154,12 @@ def forest(n: int, u: np.ndarray, v: np.ndarray, label: np.ndarray | None = None
         label = new
 
 
-def chains(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
-    """Pairs of ids that link each component in a chain: as few as can be, and no node with many."""
+def stars(ids: np.ndarray, label: np.ndarray) -> pd.DataFrame:
+    """Pairs that link each component: its smallest id with every other, as few as can be."""
     order = np.lexsort((ids, label))
     ids, label = ids[order], label[order]
-    same = np.flatnonzero(label[1:] == label[:-1])
-    pairs = pd.DataFrame({"a": ids[same], "b": ids[same + 1]})
+    first = np.searchsorted(label, label)
+    pairs = pd.DataFrame({"a": ids[first], "b": ids})
     return pairs[pairs["a"] != pairs["b"]]
 
 
@@ -167,34 +167,32 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of links (a, b: long) reaches.
 
     Alternating large-star and small-star steps (each node's neighbours move to its smallest one),
-    which need about log(n) rounds. Every step aggregates a minimum per node, with partial sums before
-    the shuffle, and joins it to the links, where Spark splits a hot node's rows at run time.
+    which need about log(n) rounds, and none where every component is a star already. Every step aggregates a minimum per node, with
+    partial sums before the shuffle, and joins it to the links, where Spark splits a hot node's rows at run time.
     A null end or an empty table gives no rows.
     """
     e = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"), F.col("a").isNotNull().alias("_x"), F.col("b").isNotNull().alias("_y"))
     e = checkpointed(e.filter("_x AND _y AND u <> v").select("u", "v").distinct())
-    if e.isEmpty():
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-        low = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         moved = both.join(low, "u").filter(F.col("v") > F.col("u") if large else F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         if not large:
             moved = moved.unionByName(low.select("u", F.col("m").alias("v")))
         return checkpointed(moved.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = mark(e)
+    def settled(edges: DataFrame) -> bool:
+        """Has every node one smaller neighbour, which has none?"""
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down")))
+        per = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+        return per.filter("down > 1 OR (down = 1 AND least = 0)").isEmpty()
+
     for _ in range(rounds):
+        if settled(e):
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         e = star(star(e, True), False)
-        now = mark(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components didn't settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
 def hot_keys(df: DataFrame, key: str, slices: int = 32, tracked: int = 2048, reported: int = 128) -> DataFrame:

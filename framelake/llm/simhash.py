@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import chains, checkpointed, components, forest, lookup, tiles, without_places
+from framelake.llm.common import checkpointed, components, forest, lookup, stars, tiles, without_places
 
 #: Permutations of the sketch that estimates similarity.
 SKETCH = 128
@@ -118,7 +118,7 @@ def _cell(fp: F.Column, masks: list[int], width: int) -> F.Column:
 
 
 def _linked(own: tuple, other: tuple, radius: int, least: int) -> pd.DataFrame:
-    """Chains of what two tiles link. A tile: numbers, fingerprints and sketches (None if least is 0), by population count."""
+    """Stars of what two tiles link. A tile: numbers, fingerprints and sketches (None if least is 0), by population count."""
     (ids, a, sa), (more, b, sb) = own, other
     pa, pb = np.bitwise_count(a).astype(np.int64), np.bitwise_count(b).astype(np.int64)
     names, at = np.unique(np.concatenate([ids, more]), return_inverse=True)
@@ -139,7 +139,7 @@ def _linked(own: tuple, other: tuple, radius: int, least: int) -> pd.DataFrame:
                 c, d = c[same], d[same]
             if len(c):
                 label = forest(len(names), left[c], right[d], label)
-    return chains(names, label)
+    return stars(names, label)
 
 
 def wide_links(points: DataFrame, radius: int, least: int = 0) -> DataFrame:
@@ -195,7 +195,7 @@ def links(points: DataFrame, radius: int = 3, blocks: int = 3, width: int = 1, s
     Fingerprints are dealt into cells by the population counts of `blocks` parts of the 64 bits, in steps of `width`: within the radius,
     these counts differ by no more than it in sum, so other pairs of cells are skipped, and each cell meets its neighbours
     only. Within a cell, tiles of numpy compare all with all by exclusive-or and bit count, and skip where whole
-    population counts differ too much. A tile gives a chain per component, never all pairs of a group; nothing is lost by
+    population counts differ too much. A tile gives a star per component, never all pairs of a group; nothing is lost by
     that, as every pair is compared somewhere.
     """
     bits = [range(i * 64 // blocks, (i + 1) * 64 // blocks) for i in range(blocks)]
@@ -304,7 +304,7 @@ def verified_links(docs: DataFrame, label: DataFrame, similarity: float, similar
                 if label[u] != label[w] and _alike(sets[u], sets[w], similarity):
                     low, high = sorted((label[u], label[w]))
                     label[label == high] = low
-        return chains(ids, label)
+        return stars(ids, label)
 
     return rows.groupBy("cell", F.least("tile", "_o").alias("i"), F.greatest("tile", "_o").alias("j")).applyInPandas(verify, "a long, b long")
 
