@@ -80,6 +80,17 @@ def render_aux(aux: list[dict]) -> bytes:
     return out
 
 
+def color_of(h: dict) -> int:
+    """C3 for one header: the last colour format whose components all match by name, subsampling and width; UNKNOWN_COLOR if none does."""
+    found = dims.UNKNOWN_COLOR
+    for color in dims.MATCHED:
+        parts = dims.COLORS[color][1]
+        fits = [c["com_code"].ljust(5) == name.ljust(5) and c["pix_sbsmpl"] == p and c["lin_sbsmpl"] == n and c["pix_line"] * p == h["act_pixel"] * many for c, (name, p, n, many) in zip(h["comp"], parts, strict=False)]
+        if len(fits) == len(parts) and all(fits):
+            found = color
+    return found
+
+
 def aux_slots(aux: list[dict]) -> list[tuple[int, int]]:
     """For each entry the position of its payload in the image's auxiliary data (-1 without one), and the size."""
     out, at = [], 0

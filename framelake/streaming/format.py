@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from framelake.plans.layout import Layout
 from framelake.sources import codec
-from framelake.sources.format import Done, Range, _batches, _put, _rows, count_images, read_header
+from framelake.sources.format import Done, Range, _batches, _rows, check_access, _same, count_images, placed, read_header
 
 
 class SequenceStreamReader(DataSourceStreamReader):
@@ -39,6 +39,7 @@ class SequenceStreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         h = read_header(self.path)
+        check_access(h, self.options)
         every = tuple(range(len(h["comp"])))
         ranges = Layout(h).ranges(start["image_no"] + 1, end["image_no"], int(self.options.get("parallelism", 8)), int(self.options.get("imagesperpartition", 0)))
         return [Range(self.path, h, a, b, every) for a, b in ranges] or [Range(self.path, h, 1, 0, every)]
@@ -48,7 +49,7 @@ class SequenceStreamReader(DataSourceStreamReader):
 
 
 class SequenceStreamWriter(DataSourceStreamArrowWriter):
-    """Appends images in any order within a batch; gaps read as zeros. A header once written stays. Failures fail the batch."""
+    """Appends images in any order within a batch; gaps read as zeros. A header once written stays: another one for the same file is refused (116). Failures fail the batch."""
 
     def __init__(self, options: dict):
         import ast
@@ -60,13 +61,16 @@ class SequenceStreamWriter(DataSourceStreamArrowWriter):
         if not os.path.exists(self.path):
             with open(self.path, "wb") as f:
                 f.write(codec.render_header(self.header))
+        elif not _same(read_header(self.path), self.header):
+            raise codec.FormatError(116)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Done:
         highest = 0
         with open(self.path, "r+b") as f:
-            for batch in iterator:
-                for row in batch.to_pylist():
-                    highest = max(highest, _put(f, self.header, self.lay, row))
+            for image, at, raw in placed(iterator, self.header, self.lay):
+                highest = max(highest, image)
+                f.seek(at)
+                f.write(raw)
         return Done(highest)
 
     def commit(self, messages, batchId: int) -> None:
