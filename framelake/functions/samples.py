@@ -1,12 +1,10 @@
-"""Sample conversions as columns (M1 to M13); Arrow UDFs only where a column can't say it."""
+"""Sample conversions as columns."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from framelake.functions.dims import DATA_FORMATS, MEMORY_FORMATS
 
@@ -84,10 +82,16 @@ def half_codes(values: np.ndarray) -> np.ndarray:
     return (sign | np.where((exp == 0) & (man == 0), 0, out)).astype(np.uint16)
 
 
-@F.pandas_udf(IntegerType())
-def float_to_half(values: pd.Series) -> pd.Series:
-    """M7 as a column."""
-    return pd.Series(half_codes(values.fillna(np.nan).to_numpy(np.float32)).astype(np.int32)).where(values.notna().to_numpy())
+def float_to_half(value: Column) -> Column:
+    """M7 as a column; a NaN has the code 0x7E00."""
+    x = F.abs(value.cast("float").cast("double"))
+    two = lambda e: F.pow(F.lit(2.0), e)
+    near = F.floor(F.log2(x))
+    e = F.when(x >= two(near + 1), near + 1).when(x < two(near), near - 1).otherwise(near)
+    normal = (e + 15) * 1024 + F.floor((x / two(e) - 1) * 1024 + 0.5)
+    code = F.when(x < 2.0**-24, 0).when(x < 2.0**-14, F.floor(x * 2.0**24 + 0.5)).when(x >= 65536.0, 0x7C00).otherwise(F.least(normal, F.lit(0x7C00)))
+    negative = F.when(value == 0, value.cast("string").startswith("-")).otherwise(value < 0)  # a zero's sign is in its text only
+    return F.when(F.isnan(value), 0x7E00).otherwise(F.when(negative, code + 0x8000).otherwise(code)).cast("int")
 
 
 def read_gain(raw: Column, offset: Column | float, gain: Column | float, kind: str = "double") -> Column:

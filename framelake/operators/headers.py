@@ -21,7 +21,6 @@ SCHEMA = (
     "path string, nr_images int, nr_compon int, nr_fd_recs int, nr_aux_data_recs int, appl_type string, bytes_rec int, little_endian boolean, nr_aux_hdr_recs int, ima_freq double, lin_freq double, pix_freq double, "
     f"act_lines int, act_pixel int, interlace int, h_pp_size int, v_pp_size int, comp array<{COMPONENT}>, description string, aux array<{AUX}>, status int"
 )
-_NAMES = [x.split()[0] for x in SCHEMA.split("comp array")[0].split(", ") if x] + ["comp", "description", "aux", "status"]
 
 
 def whole_div(a: Column, b: Column | int) -> Column:
@@ -59,17 +58,26 @@ def _guarded(df: DataFrame, status: Column, changes: dict[str, Column]) -> DataF
 # --- colour formats and validation ------------------------------------------------------------------------------------
 
 
+def _color_parts(color: int) -> Column:
+    return F.array(*[F.struct(F.lit(n.ljust(5)).alias("name"), F.lit(p).alias("p"), F.lit(l).alias("l"), F.lit(m).alias("m")) for n, p, l, m in dims.COLORS[color][1]])
+
+
+def parts_of(color: Column) -> Column:
+    """Name, subsampling (p, l) and multiplex (m) of the components of a colour format; null for one that there isn't. A constant table."""
+    return F.get(F.array(*[_color_parts(k) for k in sorted(dims.COLORS)]), F.when(color.between(0, max(dims.COLORS)), color).cast("int"))
+
+
 def color_of(comp: Column, act_pixel: Column) -> Column:
     """The last colour format whose components all match by name, subsampling and width; 9 if none does."""
-    out = F.lit(dims.UNKNOWN_COLOR)
-    for color in dims.MATCHED:
-        parts = dims.COLORS[color][1]
-        fits = F.size(comp) >= len(parts)
-        for i, (name, pss, lss, many) in enumerate(parts):
-            c = F.get(comp, i)
-            fits = fits & (F.rpad(c["com_code"], 5, " ") == name.ljust(5)) & (c["pix_sbsmpl"] == pss) & (c["lin_sbsmpl"] == lss) & (c["pix_line"] * c["pix_sbsmpl"] == act_pixel * many)
-        out = F.when(fits, color).otherwise(out)
-    return out
+    patterns = F.array(*[F.struct(F.lit(k).alias("color"), _color_parts(k).alias("parts")) for k in dims.MATCHED])
+
+    def fits(pattern: Column) -> Column:
+        n = F.size(pattern["parts"])
+        same = lambda a, c: (F.rpad(c["com_code"], 5, " ") == a["name"]) & (c["pix_sbsmpl"] == a["p"]) & (c["lin_sbsmpl"] == a["l"]) & (c["pix_line"] * c["pix_sbsmpl"] == act_pixel * a["m"])
+        return (F.size(comp) >= n) & F.forall(F.zip_with(pattern["parts"], F.slice(comp, 1, n), same), lambda x: F.coalesce(x, F.lit(False)))
+
+    found = F.transform(F.filter(patterns, fits), lambda p: p["color"])
+    return F.coalesce(F.element_at(F.concat(F.array(F.lit(dims.UNKNOWN_COLOR)), found), -1), F.lit(dims.UNKNOWN_COLOR))
 
 
 def _first(*stages: tuple[Column, int]) -> Column:
@@ -113,10 +121,8 @@ def size_status(color: Column) -> Column:
 
 
 def standard_count(color: Column) -> Column:
-    out = F.lit(0)
-    for k, n in dims.STANDARD_COMPONENTS.items():
-        out = F.when(color == k, n).otherwise(out)
-    return out
+    """Components of a colour format; 0 for one that there isn't."""
+    return F.coalesce(F.get(F.array(*[F.lit(dims.STANDARD_COMPONENTS[k]) for k in sorted(dims.COLORS)]), color.cast("int")), F.lit(0))
 
 
 def format_status(color: Column) -> Column:
@@ -180,20 +186,11 @@ def rewrite_status(old: DataFrame, new: DataFrame, key: str = "path") -> DataFra
 
 def built_components(color: Column, act_pixel: Column, act_lines: Column, interlace: Column, fmt: Column | str = "B*8 ") -> Column:
     """Components of a colour format: lines / subsampling / interlace factor, pixels * multiplex / subsampling."""
-    out = F.lit(None).cast(f"array<{COMPONENT}>")
-    for k, (_, parts) in dims.COLORS.items():
-        made = [component(n, fmt, whole_div(whole_div(act_lines, l), interlace), whole_div(act_pixel * m, p), F.lit(p), F.lit(l)) for n, p, l, m in parts]
-        out = F.when(color == k, F.array(*made)).otherwise(out)
-    return out
+    return F.transform(parts_of(color), lambda a: component(a["name"], fmt, whole_div(whole_div(act_lines, a["l"]), interlace), whole_div(act_pixel * a["m"], a["p"]), a["p"], a["l"]))
 
 
 def _undivided(color: Column, act_pixel: Column, act_lines: Column) -> Column:
-    out = F.lit(False)
-    for k, (_, parts) in dims.COLORS.items():
-        for _, p, l, _ in parts:
-            if p > 1 or l > 1:
-                out = out | ((color == k) & ((act_pixel % p != 0) | (act_lines % l != 0)))
-    return out
+    return F.coalesce(F.exists(parts_of(color), lambda a: (act_pixel % a["p"] != 0) | (act_lines % a["l"] != 0)), F.lit(False))
 
 
 def free_header(df: DataFrame, color: str, ima_freq: str, lin_freq: str, pix_freq: str, lines: str, pixels: str, interlace: str, h_pp: str, v_pp: str, status: Column | None = None, keep: tuple[str, ...] = ("path",)) -> DataFrame:
@@ -352,7 +349,7 @@ def set_defined_size(df: DataFrame, size: Column, ppl: Column) -> DataFrame:
 
 def set_defined_frequency(df: DataFrame, freq: Column) -> DataFrame:
     """H14."""
-    return _rebuild(df, size_class(), F.when(_color() == 7, F.col("act_pixel")).otherwise(F.col("act_pixel")), freq)
+    return _rebuild(df, size_class(), F.col("act_pixel"), freq)
 
 
 def set_frequencies(df: DataFrame, image: Column, line: Column, pixel: Column) -> DataFrame:
@@ -481,12 +478,31 @@ def error_text(status: Column) -> Column:
     return F.try_element_at(table, status)
 
 
+# fixed values: labels of a printed header
+_PRINTED = {
+    "nr_images": "number of images", "nr_compon": "number of components", "nr_fd_recs": "number of file description records", "nr_aux_data_recs": "number of auxiliary data records", "appl_type": "application type", "bytes_rec": "bytes per record", "little_endian": "little endian", "nr_aux_hdr_recs": "number of auxiliary header records",
+    "ima_freq": "image frequency", "lin_freq": "line frequency", "pix_freq": "pixel frequency", "act_lines": "active lines", "act_pixel": "active pixels", "interlace": "interlace factor", "h_pp_size": "horizontal proportional picture size", "v_pp_size": "vertical proportional picture size",
+}
+_PRINTED_PART = {"lin_image": "lines per image", "pix_line": "pixels per line", "data_fmt": "data format", "tem_sbsmpl": "temporal subsampling", "lin_sbsmpl": "line subsampling", "pix_sbsmpl": "pixel subsampling", "tem_phshft": "temporal phase shift", "lin_phshft": "line phase shift", "pix_phshft": "pixel phase shift", "com_code": "component code"}
+
+
 def printed(df: DataFrame) -> DataFrame:
-    """Path and the header as lines of text."""
-    one = lambda name, v: F.format_string("%-28s: %s", F.lit(name), v.cast("string"))
-    flat = [k for k in _NAMES if k not in ("path", "comp", "aux", "status", "description")]
-    parts = F.transform("comp", lambda c, i: F.concat_ws("\n", F.format_string("component %d", i), *[one(k, c[k]) for k in _FIELDS]))
-    return df.select("path", F.concat_ws("\n", *[one(k, F.col(k)) for k in flat], F.array_join(parts, "\n")).alias("text"))
+    """Path, status and the header as lines of text: a section of what holds for the file, and one for each component (200 if there are too many)."""
+
+    def line(label: str, width: int, v: Column, name: str) -> Column:
+        shown = F.format_string("%f", v) if name.endswith("_freq") else v.cast("int").cast("string") if name == "little_endian" else v.cast("string")
+        return F.concat(F.lit(f"{label.ljust(width)} : "), F.coalesce(shown, F.lit("")))
+
+    flat = [line(label, 36, F.col(k), k) for k, label in _PRINTED.items()]
+    parts = F.transform("comp", lambda c, i: F.concat_ws("\n", F.concat(F.lit("COMPONENT "), i.cast("string")), *[line(label, 20, c[k], k) for k, label in _PRINTED_PART.items()]))
+    fine = F.col("nr_compon") <= dims.MAX_COMPONENTS
+    text = F.concat_ws("\n", F.lit("GLOBAL"), *flat, F.when(fine & (F.size("comp") > 0), F.array_join(parts, "\n")))
+    return df.select("path", text.alias("text"), F.when(fine, 0).otherwise(200).alias("status"))
+
+
+def copy_header(df: DataFrame, checks: bool = True) -> DataFrame:
+    """The headers as they are, with the status that check_header() gives."""
+    return check_header(df, checks).drop("color_format")
 
 
 def sizes(df: DataFrame) -> DataFrame:

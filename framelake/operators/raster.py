@@ -120,27 +120,37 @@ def crop_planes(planes: DataFrame, width: int, height: int) -> DataFrame:
     return planes.withColumn("data", cut("data", "width", "height", "data_fmt")).withColumns({"width": F.least("width", F.lit(width)), "height": F.least("height", F.lit(height))})
 
 
-def plane_lines(planes: DataFrame) -> DataFrame:
-    """A row for each line: y, data."""
-    n = F.expr("cast(octet_length(data) / greatest(height, 1) as int)")
-    e = planes.withColumn("_n", n).withColumn("y", F.explode(F.expr("sequence(0, height - 1)")))
-    return e.withColumn("data", F.expr("substring(data, y * _n + 1, _n)")).drop("_n")
-
-
 def weave_planes(fields: DataFrame) -> DataFrame:
-    """R2 on planes (path, frame, field, comp, width, height, data...): one plane for each frame and component; lines of field 1 first."""
+    """R2 on planes (path, frame, field, comp, width, height, data...): one plane for each frame and component; lines of field 1 first.
+
+    A frame with one field alone is that field's lines.
+    """
     cols = [c for c in fields.columns if c not in ("field", "data", "image_no", "height")]
-    lines = plane_lines(fields).withColumn("_line", 2 * F.col("y") + F.col("field") - 1)
-    g = lines.groupBy(*cols).agg(F.array_sort(F.collect_list(F.struct("_line", "data"))).alias("_l"))
-    joined = F.aggregate("_l", F.lit(b"").cast("binary"), lambda a, s: F.concat(a, s["data"]))
-    return g.select(*cols, F.size("_l").alias("height"), joined.alias("data"))
+    of = lambda k, c: F.first(F.when(F.col("field") == k, F.col(c)), ignorenulls=True)
+
+    @F.pandas_udf("binary")
+    def woven(a: pd.Series, b: pd.Series, ha: pd.Series, hb: pd.Series) -> pd.Series:
+        def one(a, b, ha, hb):
+            if a is None or b is None:
+                return a if b is None else b
+            n = len(a) // max(1, int(ha)) if len(a) else len(b) // max(1, int(hb))
+            rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(int(h), n) for x, h in ((a, ha), (b, hb))])
+            return rows[np.argsort(np.concatenate([2 * np.arange(int(ha)), 2 * np.arange(int(hb)) + 1]), kind="stable")].tobytes()
+
+        return pd.Series([one(*x) for x in zip(a, b, ha, hb, strict=True)])
+
+    g = fields.groupBy(*cols).agg(of(1, "data").alias("_a"), of(2, "data").alias("_b"), of(1, "height").alias("_ha"), of(2, "height").alias("_hb"))
+    height = (F.coalesce("_ha", F.lit(0)) + F.coalesce("_hb", F.lit(0))).cast("int")
+    return g.select(*cols, height.alias("height"), woven("_a", "_b", F.coalesce("_ha", F.lit(0)), F.coalesce("_hb", F.lit(0))).alias("data"))
 
 
 def split_planes(frames: DataFrame) -> DataFrame:
     """R3 on planes: two fields of each frame."""
-    n = F.expr("cast(octet_length(data) / greatest(height, 1) as int)")
-    f = frames.withColumn("_n", n).withColumn("field", F.explode(F.array(F.lit(1), F.lit(2))))
-    own = F.expr("filter(sequence(0, greatest(height, 1) - 1), y -> y % 2 = field - 1)")
-    f = f.withColumn("_y", own)
-    data = F.aggregate("_y", F.lit(b"").cast("binary"), lambda a, y: F.concat(a, F.substring(F.col("data"), y * F.col("_n") + 1, F.col("_n"))))
-    return f.withColumns({"data": data, "height": F.size("_y")}).drop("_n", "_y")
+
+    @F.pandas_udf("binary")
+    def half(data: pd.Series, height: pd.Series, field: pd.Series) -> pd.Series:
+        one = lambda d, h, k: None if d is None else np.frombuffer(d, np.uint8).reshape(max(1, h), -1)[k - 1 :: 2].tobytes()
+        return pd.Series([one(*x) for x in zip(data, height, field, strict=True)])
+
+    f = frames.withColumn("field", F.explode(F.array(F.lit(1), F.lit(2))))
+    return f.withColumns({"data": half("data", "height", "field"), "height": F.floor((F.col("height") + 2 - F.col("field")) / 2).cast("int")})
