@@ -1,4 +1,4 @@
-"""Named queries over the driver's tables: each operator that SQL can express, with its SQL, and file round trips.
+"""Named queries over the driver's tables, with their SQL: samples, header fields, planes. More are in header_queries and file_queries.
 
 Embeddings serve as 8 x 8 images (vec_id: image number), prices and event values as raw sample codes, event_id as the address of a
 sample, numbers of orders, parts and customers as header fields, n_chars as sizes of auxiliary data.
@@ -6,32 +6,18 @@ sample, numbers of orders, parts and customers as header fields, n_chars as size
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.functions import dims, samples, text
+from framelake import registry
+from framelake.functions import samples, text
 from framelake.operators import auxiliary, headers, raster
 from framelake.plans import layout
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+from framelake.registry import query as _query
+from framelake.registry import table as _t
+from framelake.sources.shared import with_folder
 
 
 # --- samples ----------------------------------------------------------------------------------------------------------
@@ -68,21 +54,41 @@ def endian_swap(spark, sf_dir):
     return _prices(spark, sf_dir, samples.swap_bytes(F.col("s")))
 
 
-_HALF_SQL = "CASE WHEN e = 0 THEN g * (m * pow(2.0, -24)) ELSE g * ((m / 1024.0::DOUBLE + 1.0) * pow(2.0, e - 15)) END"
+_HALF_SQL = "CASE WHEN e = 31 AND m > 0 THEN 'NaN'::DOUBLE WHEN e = 31 THEN g * 'Infinity'::DOUBLE WHEN e = 0 THEN g * (m * pow(2.0, -24)) ELSE g * ((m / 1024.0::DOUBLE + 1.0) * pow(2.0, e - 15)) END"
 
 
-@_query(f"SELECT event_id, {_HALF_SQL} AS value FROM (SELECT event_id, CASE WHEN (h >> 15) & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0 END AS g, (h >> 10) & 31 AS e, h & 1023 AS m FROM (SELECT event_id, event_id * 7919 % 65536 AS h FROM events)) WHERE e < 31")
+@_query(f"SELECT event_id, {_HALF_SQL} AS value FROM (SELECT event_id, CASE WHEN (h >> 15) & 1 = 1 THEN -1.0::DOUBLE ELSE 1.0 END AS g, (h >> 10) & 31 AS e, h & 1023 AS m FROM (SELECT event_id, event_id * 7919 % 65536 AS h FROM events))")
 def half_decode(spark, sf_dir):
     h = F.col("event_id") * 7919 % 65536
-    e = _t(spark, sf_dir, "events").select("event_id", h.alias("h"))
-    return e.filter(F.shiftright("h", 10).bitwiseAND(F.lit(31)) < 31).select("event_id", samples.half_to_float(F.col("h")).alias("value"))
+    return _t(spark, sf_dir, "events").select("event_id", samples.half_to_float(h).alias("value"))
 
 
-@_query("""SELECT event_id, CAST(CASE WHEN m = 1024 THEN (e + 1) * 1024 ELSE e * 1024 + m END AS INTEGER) AS code FROM (
-    SELECT event_id, floor(log2(x)) + 15 AS e, floor((x / pow(2.0, floor(log2(x))) - 1) * 1024 + 0.5) AS m FROM (SELECT event_id, CAST(CAST(value AS FLOAT) AS DOUBLE) AS x FROM events WHERE value >= 0.01 AND value < 60000))""")
+@_query("SELECT event_id, CASE WHEN e = 31 AND m > 0 THEN 'NaN' WHEN e = 31 THEN 'infinite' ELSE 'finite' END AS kind FROM (SELECT event_id, (h >> 10) & 31 AS e, h & 1023 AS m FROM (SELECT event_id, event_id * 7919 % 65536 AS h FROM events))")
+def half_kinds(spark, sf_dir):
+    v = samples.half_to_float(F.col("event_id") * 7919 % 65536)
+    kind = F.when(F.isnan(v), "NaN").when(F.abs(v) == float("inf"), "infinite").otherwise("finite")
+    return _t(spark, sf_dir, "events").select("event_id", kind.alias("kind"))
+
+
+# values of all magnitudes and both signs, zeros, infinities and NaN
+_FLOATS_SQL = "SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 'Infinity'::DOUBLE WHEN event_id % 101 = 0 THEN '-Infinity'::DOUBLE WHEN event_id % 103 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 107 = 0 THEN 0.0 ELSE CAST(CAST((value - 100) * pow(2.0, event_id % 48 - 36) AS FLOAT) AS DOUBLE) END AS v FROM events"
+
+
+@_query(f"""SELECT event_id, CAST(CASE WHEN isnan(v) THEN 32256 ELSE CASE WHEN v < 0 THEN 32768 ELSE 0 END + CASE WHEN x < pow(2.0, -24) THEN 0 WHEN x < pow(2.0, -14) THEN floor(x * 16777216 + 0.5) WHEN x >= 65536 THEN 31744
+    ELSE least(31744, (floor(log2(x)) + 15) * 1024 + floor((x / pow(2.0, floor(log2(x))) - 1) * 1024 + 0.5)) END END AS INTEGER) AS code FROM (SELECT event_id, v, CASE WHEN v = 0 OR isnan(v) THEN 1e-30 ELSE abs(v) END AS x FROM ({_FLOATS_SQL}))""")
 def half_encode(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").filter((F.col("value") >= 0.01) & (F.col("value") < 60000))
-    return e.select("event_id", samples.float_to_half(F.col("value").cast("float")).alias("code"))
+    k = F.col("event_id")
+    finite = ((F.col("value") - 100) * F.pow(F.lit(2.0), k % 48 - 36)).cast("float").cast("double")
+    v = F.when(k % 97 == 0, float("inf")).when(k % 101 == 0, float("-inf")).when(k % 103 == 0, float("nan")).when(k % 107 == 0, 0.0).otherwise(finite)
+    return _t(spark, sf_dir, "events").select("event_id", samples.float_to_half(v).alias("code"))
+
+
+@_query("SELECT event_id, 0 AS status FROM events")
+def float_check(spark, sf_dir):
+    """850 where a code doesn't survive being decoded and encoded (a NaN is any NaN)."""
+    h = (F.col("event_id") * 7919 % 65536).cast("int")
+    same = samples.float_to_half(samples.half_to_float(h)) == F.when(h.bitwiseAND(F.lit(0x7FFF)) > 0x7C00, 0x7E00).otherwise(h)
+    return _t(spark, sf_dir, "events").select("event_id", F.when(same, 0).otherwise(850).alias("status"))
 
 
 @_query("SELECT event_id, CAST(trunc((CAST(trunc(value * 10) AS INTEGER) - 128) / 4.0::DOUBLE + 0.5) AS INTEGER) AS sample FROM events")
@@ -128,13 +134,16 @@ def aspect_reduce(spark, sf_dir):
     return p.withColumn("g", g).select("p_partkey", F.expr("w div g").alias("h_pp"), F.expr("h div g").alias("v_pp"))
 
 
-def _case(x: str, table: dict, other: str) -> str:
-    return f"CASE {x} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in table.items()) + f" ELSE '{other}' END"
+_FREQ_SQL = "CASE CAST(floor(100 * ({}) + 0.5) AS INTEGER) WHEN 5000 THEN '50' WHEN 5994 THEN '60' WHEN 6000 THEN 'REAL_60' WHEN 2500 THEN '25' WHEN 2398 THEN '24' WHEN 2400 THEN 'REAL_24' WHEN 2997 THEN '30' WHEN 3000 THEN 'REAL_30' WHEN 7500 THEN '75' WHEN 8991 THEN '90' WHEN 9000 THEN 'REAL_90' WHEN 10000 THEN '100' WHEN 11988 THEN '120' WHEN 12000 THEN 'REAL_120' ELSE 'UNKNOWN' END"
+# every event near one of the classes, or at none of them
+_HZ_SQL = "CASE WHEN event_id % 3 = 0 THEN value / 4 ELSE [50.0, 59.94, 60, 25, 23.976, 24, 29.97, 30, 75, 89.91, 90, 100, 119.88, 120][CAST(event_id % 14 + 1 AS INTEGER)]::DOUBLE + CASE WHEN event_id % 3 = 1 THEN 0.004 ELSE 0.0 END END"
 
 
-@_query(f"SELECT event_id, {_case('CAST(floor(100 * (value / 4) + 0.5) AS INTEGER)', {int(100 * v + 0.5): k for k, v in reversed(dims.CLASSES.items())}, 'UNKNOWN')} AS freq FROM events")
+@_query(f"SELECT event_id, {_FREQ_SQL.format(_HZ_SQL)} AS freq FROM events")
 def freq_class(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", headers.frequency_class(F.col("value") / 4).alias("freq"))
+    k = F.col("event_id")
+    near = _array([50.0, 59.94, 60.0, 25.0, 23.976, 24.0, 29.97, 30.0, 75.0, 89.91, 90.0, 100.0, 119.88, 120.0], k % 14) + F.when(k % 3 == 1, 0.004).otherwise(0.0)
+    return _t(spark, sf_dir, "events").select("event_id", headers.frequency_class(F.when(k % 3 == 0, F.col("value") / 4).otherwise(near)).alias("freq"))
 
 
 _LINES_SQL = "[120, 144, 240, 288, 480, 576, 720, 1080, 1152, 525, 625, 99][CAST(o_orderkey % 12 + 1 AS INTEGER)]"
@@ -176,13 +185,22 @@ def _requests(spark, sf_dir) -> DataFrame:
     )
 
 
-def _raster_values() -> str:
-    return ", ".join(f"({s}, '{f}', '{z}', {a}, {w}, {n}, {k}::DOUBLE, {m}::DOUBLE)" for s, f, z, a, w, n, k, m in dims.raster_rows())
+# the standard rasters: lines and line frequency (kHz) by size for 50, 59.94 and 60 Hz families, and pixel frequency (MHz) by width; 0 asks for the first
+_RASTER_SQL = """z(rz, n50, n60, k50, k60, kx) AS (VALUES ('QCIF', 144, 120, 15.625, 15.734264, 15.75), ('CIF', 288, 240, 15.625, 15.734264, 15.75), ('SD', 576, 480, 15.625, 15.734264, 15.75), ('HDp', NULL, 720, NULL, 22.4775, 22.5), ('HDi', 1152, 1080, 31.25, 33.71625, 33.75)),
+fr(rf, fam) AS (VALUES ('50', 5), ('25', 5), ('60', 6), ('24', 6), ('30', 6), ('REAL_60', 0), ('REAL_24', 0), ('REAL_30', 0)),
+px(pz, fifty, ask, w, mhz) AS (VALUES ('QCIF', NULL, 0, 176, 13.5), ('QCIF', NULL, 176, 176, 13.5), ('QCIF', NULL, 180, 180, 13.5), ('CIF', NULL, 0, 352, 13.5), ('CIF', NULL, 352, 352, 13.5), ('CIF', NULL, 360, 360, 13.5),
+    ('SD', NULL, 0, 720, 13.5), ('SD', NULL, 512, 512, 9.6), ('SD', NULL, 640, 640, 12.0), ('SD', NULL, 704, 704, 13.5), ('SD', NULL, 720, 720, 13.5), ('SD', NULL, 848, 848, 16.0), ('SD', NULL, 960, 960, 18.0), ('SD', NULL, 1024, 1024, 19.2), ('SD', NULL, 1280, 1280, 24.0), ('SD', NULL, 1440, 1440, 27.0),
+    ('HDp', NULL, 0, 1280, 37.125), ('HDp', NULL, 960, 960, 27.84375), ('HDp', NULL, 1024, 1024, 29.7), ('HDp', NULL, 1280, 1280, 37.125), ('HDp', NULL, 1440, 1440, 41.765625), ('HDp', NULL, 1920, 1920, 55.6875),
+    ('HDi', true, 0, 1440, 54.0), ('HDi', true, 960, 960, 36.0), ('HDi', true, 1024, 1024, 38.4), ('HDi', true, 1280, 1280, 48.0), ('HDi', true, 1440, 1440, 54.0), ('HDi', true, 1920, 1920, 72.0),
+    ('HDi', false, 0, 1920, 74.25), ('HDi', false, 960, 960, 37.125), ('HDi', false, 1024, 1024, 39.6), ('HDi', false, 1280, 1280, 49.5), ('HDi', false, 1440, 1440, 55.6875), ('HDi', false, 1920, 1920, 74.25)),
+st(rf, ask, w, n, khz, mhz) AS (VALUES ('25', 0, 864, 625, 15.625, 13.5), ('25', 864, 864, 625, 15.625, 13.5), ('25', 1024, 1024, 625, 15.625, 16.0), ('25', 1152, 1152, 625, 15.625, 18.0), ('30', 0, 858, 525, 15.734264, 13.5), ('30', 858, 858, 525, 15.734264, 13.5), ('30', 1144, 1144, 525, 15.734264, 18.0)),
+r AS (SELECT false AS st, rf, rz, ask, w, CASE fam WHEN 5 THEN n50 ELSE n60 END AS n, CAST(CASE fam WHEN 5 THEN k50 WHEN 6 THEN k60 ELSE kx END AS DOUBLE) AS khz, CAST(mhz AS DOUBLE) AS mhz FROM z, fr, px WHERE rz = pz AND coalesce(fifty = (fam = 5), true) AND CASE fam WHEN 5 THEN n50 ELSE n60 END IS NOT NULL
+    UNION ALL SELECT true, rf, 'SD', ask, w, n, CAST(khz AS DOUBLE), CAST(mhz AS DOUBLE) FROM st)"""
 
 
 _REQUESTS_SQL = "SELECT o_orderkey AS path, " + ", ".join(f"CAST({v} AS {t}) AS {k}" for k, (v, t) in _REQUEST.items()) + " FROM orders"
 _CREATE_SQL = f"""
-WITH r(st, rf, rz, ask, w, n, khz, mhz) AS (VALUES {_raster_values()}), q AS ({_REQUESTS_SQL}),
+WITH {_RASTER_SQL}, q AS ({_REQUESTS_SQL}),
 j AS (SELECT q.*, r.*, color = 7 AS stream FROM q LEFT JOIN r ON (color = 7) = st AND freq = rf AND size = rz AND ppl = ask),
 s AS (SELECT *, CASE WHEN stream AND NOT progressive THEN 703 WHEN size = 'HDi' AND progressive THEN 702 WHEN size = 'HDp' AND NOT progressive THEN 701 WHEN size = 'HDp' AND freq IN ('50', '25') THEN 700
     WHEN stream AND freq NOT IN ('25', '30') THEN 400 WHEN freq NOT IN ('50', '60', 'REAL_60', '25', '24', 'REAL_24', '30', 'REAL_30') THEN 400 WHEN stream AND size <> 'SD' THEN 500 WHEN w IS NULL THEN 710 ELSE 0 END AS status,
@@ -322,19 +340,36 @@ def rewrite_compat(spark, sf_dir):
     return headers.rewrite_status(old, new)
 
 
-@_query("SELECT o_orderkey, s AS status, t AS message FROM (SELECT o_orderkey, CAST(o_orderkey % 1000 AS INTEGER) AS s FROM orders) LEFT JOIN (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in dims.STATUS.items()) + ") v(k, t) ON s = k")
+_STATUS_SQL = (
+    "(0, 'success'), (100, 'cannot open the file for reading'), (101, 'cannot create the file'), (102, 'cannot open the file for changes'), (103, 'not a file of this format'), (110, 'write error'), (111, 'read error'), (112, 'seek error'), (113, 'backward seek on a stream')"
+    ", (115, 'write past the announced images on a stream'), (116, 'a header on a stream cannot be rewritten'), (117, 'new header does not fit the data in the file'), (199, 'image count too large'), (200, 'component count too large'), (201, 'no such component')"
+    ", (202, 'image header records are not allowed'), (203, 'illegal record length'), (204, 'illegal temporal subsampling'), (205, 'no such auxiliary entry'), (206, 'illegal line subsampling'), (207, 'illegal pixel subsampling'), (210, 'needs an interlaced file')"
+    ", (211, 'chrominance asked of a luminance-only file'), (212, 'R, G or B asked of a luminance-only file'), (213, 'separate U or V asked of a multiplexed file'), (214, 'R, G or B asked of a Y, U, V file'), (215, 'chrominance asked of an R, G, B file'), (216, 'chrominance asked of a stream file')"
+    ", (217, 'R, G or B asked of a stream file'), (218, 'no such component to read'), (219, 'no such component to write'), (220, 'luminance component has a wrong size'), (221, 'chrominance component has a wrong size'), (222, 'R, G, B component has a wrong size'), (223, 'stream component has a wrong size')"
+    ", (224, 'X, Y, Z component has a wrong size'), (225, 'description too long'), (226, 'extra component has a wrong size'), (227, 'picture size is no multiple of the subsampling'), (228, 'auxiliary data too long'), (229, 'auxiliary headers too long'), (230, 'header differs from that in the file')"
+    ", (242, 'colour format does not suit multiplexed access'), (243, 'colour format does not suit planar access'), (300, 'illegal colour format'), (400, 'illegal image frequency'), (410, 'image frequency cannot be changed so'), (420, 'negative frequency'), (500, 'illegal picture size')"
+    ", (501, 'illegal interlace factor'), (502, 'illegal component size'), (503, 'illegal phase shift'), (600, 'illegal aspect ratio'), (700, 'size and frequency do not go together'), (701, 'size cannot be interlaced'), (702, 'size cannot be progressive'), (703, 'stream format cannot be interlaced')"
+    ", (710, 'illegal number of pixels in a line'), (800, 'illegal file data format'), (810, 'components differ in data format'), (820, 'illegal memory data format'), (830, 'unknown file sample type'), (840, 'unknown memory sample type'), (850, 'floats are not IEEE 754 here'), (900, 'out of memory')"
+)
+
+
+@_query(f"SELECT o_orderkey, s AS status, t AS message FROM (SELECT o_orderkey, CAST(o_orderkey % 1000 AS INTEGER) AS s FROM orders) LEFT JOIN (VALUES {_STATUS_SQL}) v(k, t) ON s = k")
 def status_text(spark, sf_dir):
     s = (F.col("o_orderkey") % 1000).cast("int")
     return _t(spark, sf_dir, "orders").select("o_orderkey", s.alias("status"), headers.error_text(s).alias("message"))
 
 
-@_query("SELECT o_orderkey, lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, ' ') || printf('%12f', o_totalprice) || rpad(left(o_orderpriority, 5), 5, ' ') AS record FROM orders WHERE o_totalprice < 99999")
+# an amount of 100,000 or more is wider than its field, so its record is null
+_RECORD_SQL = "SELECT o_orderkey, o_totalprice, o_orderpriority, CASE WHEN length(printf('%12f', o_totalprice)) <= 12 THEN lpad(CAST(o_orderkey % 10000000 AS VARCHAR), 7, ' ') || printf('%12f', o_totalprice) || rpad(left(o_orderpriority, 5), 5, ' ') END AS record FROM orders"
+
+
+@_query(f"SELECT o_orderkey, record FROM ({_RECORD_SQL})")
 def header_render(spark, sf_dir):
     r = F.concat(text.render_int(F.col("o_orderkey") % 10_000_000, 7), text.render_float(F.col("o_totalprice")), text.padded_name(F.col("o_orderpriority")))
-    return _t(spark, sf_dir, "orders").filter("o_totalprice < 99999").select("o_orderkey", r.alias("record"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", r.alias("record"))
 
 
-@_query("SELECT o_orderkey, CAST(o_orderkey % 10000000 AS INTEGER) AS number, CAST(printf('%12f', o_totalprice) AS DOUBLE) AS amount, rpad(left(o_orderpriority, 5), 5, ' ') AS name FROM orders WHERE o_totalprice < 99999")
+@_query(f"SELECT o_orderkey, CASE WHEN record IS NOT NULL THEN CAST(o_orderkey % 10000000 AS INTEGER) END AS number, CASE WHEN record IS NOT NULL THEN CAST(printf('%12f', o_totalprice) AS DOUBLE) END AS amount, CASE WHEN record IS NOT NULL THEN rpad(left(o_orderpriority, 5), 5, ' ') END AS name FROM ({_RECORD_SQL})")
 def header_parse(spark, sf_dir):
     raw = F.col("record").cast("binary")
     return header_render(spark, sf_dir).select("o_orderkey", text.parse_int(text.field(raw, 0, 7)).alias("number"), text.parse_float(text.field(raw, 7, 12)).alias("amount"), text.parse_text(text.field(raw, 19, 5)).alias("name"))
@@ -403,30 +438,30 @@ def _planes(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 9).cast("int").alias("color_format"), (F.col("event_id") % 3).cast("int").alias("comp"))
 
 
-def _mode_query(mode: str) -> None:
-    values = ", ".join(f"({c}, {comps or [-1]}, {s})" for c, m, comps, s in dims.component_modes() if m == mode)
+# colour formats in five kinds (luminance; multiplexed; planar; RGB and XYZ; stream): components that a mode gives, or the status
+_KINDS_SQL = "CASE WHEN c = 0 THEN 1 WHEN c IN (1, 2) THEN 2 WHEN c IN (3, 4, 5) THEN 3 WHEN c IN (6, 8) THEN 4 ELSE 5 END"
+_MODE_SQL = {
+    "ALL": "[211], [0, 1], [0, 1, 2], [0, 1, 2], [0]", "Y": "[0], [0], [0], [0, 1, 2], [0]", "UV": "[211], [1], [1, 2], [215], [216]", "U": "[211], [213], [1], [215], [216]",
+    "V": "[211], [213], [2], [215], [216]", "R": "[212], [214], [214], [0], [217]", "G": "[212], [214], [214], [1], [217]", "B": "[212], [214], [214], [2], [217]",
+}
+
 
+def _mode_query(mode: str, kinds: str) -> None:
     def query(spark, sf_dir):
         return raster.select_components(_planes(spark, sf_dir), mode).select("event_id", "color_format", "comp", "status")
 
     query.__name__ = f"project_{mode.lower()}"
-    _query(f"SELECT event_id, color_format, comp, s AS status FROM (SELECT event_id, CAST(user_id % 9 AS INTEGER) AS color_format, CAST(event_id % 3 AS INTEGER) AS comp FROM events) JOIN (VALUES {values}) v(c, k, s) ON color_format = c WHERE list_contains(k, comp) OR (s <> 0 AND comp = 0)")(query)
+    planes = "SELECT event_id, CAST(user_id % 9 AS INTEGER) AS c, CAST(event_id % 3 AS INTEGER) AS comp FROM events"
+    _query(f"SELECT event_id, c AS color_format, comp, CAST(CASE WHEN k[1] > 200 THEN k[1] ELSE 0 END AS INTEGER) AS status FROM (SELECT *, [{kinds}][{_KINDS_SQL}] AS k FROM ({planes})) WHERE list_contains(k, comp) OR (k[1] > 200 AND comp = 0)")(query)
 
 
-for _m in dims.MODES:
-    _mode_query(_m)
+for _m, _k in _MODE_SQL.items():
+    _mode_query(_m, _k)
 
 
 # --- files ------------------------------------------------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or tempfile.gettempdir()).removeprefix("file://")
-
-
 def _image_header(spark, n: int, little: bool = True) -> dict:
     from framelake.sources import format as source
 
@@ -443,11 +478,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = F.transform("embedding", lambda v: F.floor(F.least(F.greatest((v.cast("double") + 1) * 511.5, F.lit(0.0)), F.lit(1023.0)) + 0.5).cast("int"))
     hexes = F.array_join(F.transform(codes, lambda v: F.concat(F.lpad(F.hex(v % 256), 2, "0"), F.lpad(F.hex(F.floor(v / 256)), 2, "0"))), "")
     planes = e.select((F.col("vec_id") + 1).cast("int").alias("image_no"), F.lit(0).alias("comp"), F.unhex(hexes).alias("data"))
-    path = f"{_shared(spark)}/images-{uuid.uuid4().hex}.seq"
-    source.write(planes, path, _image_header(spark, e.count()))
-    s = source.read(spark, path, level="sample", memFormat="8")
-    per = s.groupBy("image_no").agg(F.count("*").alias("samples"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
-    return per.select((F.col("image_no") - 1).cast("long").alias("vec_id"), "samples", "total", "least", "most")
+
+    def described(folder: str) -> DataFrame:
+        source.write(planes, f"{folder}/images.seq", _image_header(spark, e.count()))
+        s = source.read(spark, f"{folder}/images.seq", level="sample", memFormat="8")
+        per = s.groupBy("image_no").agg(F.count("*").alias("samples"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"))
+        return per.select((F.col("image_no") - 1).cast("long").alias("vec_id"), "samples", "total", "least", "most")
+
+    return with_folder(spark, described)
 
 
 @_query("""SELECT vec_id, count(*) AS samples, CAST(sum(s) AS BIGINT) AS total, CAST(min(s) AS INTEGER) AS least, CAST(max(s) AS INTEGER) AS most FROM
@@ -457,8 +495,11 @@ def file_round_trip(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from framelake import file_queries, header_queries  # noqa: F401  (they register theirs)
+
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(registry.SQL)
