@@ -91,7 +91,7 @@ def float_to_half(value: Column) -> Column:
     normal = (e + 15) * 1024 + F.floor((x / two(e) - 1) * 1024 + 0.5)
     code = F.when(x < 2.0**-24, 0).when(x < 2.0**-14, F.floor(x * 2.0**24 + 0.5)).when(x >= 65536.0, 0x7C00).otherwise(F.least(normal, F.lit(0x7C00)))
     negative = F.when(value == 0, value.cast("string").startswith("-")).otherwise(value < 0)  # a zero's sign is in its text only
-    return F.when(F.isnan(value), 0x7E00).otherwise(F.when(negative, code + 0x8000).otherwise(code)).cast("int")
+    return F.when(F.isnan(value), 0x7E00).when(value.isNotNull(), F.when(negative, code + 0x8000).otherwise(code)).cast("int")
 
 
 def read_gain(raw: Column, offset: Column | float, gain: Column | float, kind: str = "double") -> Column:
