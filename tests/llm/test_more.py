@@ -52,14 +52,14 @@ def toxic_table(n):
         w = [word() for _ in range(rng.randint(10, 60))]
         if i % 4 == 0:
             w[3:3] = [rng.choice(["wretch", "wretched", "blighter"])]
-        elif i % 4 == 1:
+        elif i % 100 == 1:
             w[3:3] = ["wretch", "fish"]
         data.append((i, " ".join(w), int(i % 4 == 0)))
     return data
 
 
 def test_toxicity_in_any_partitioning(spark):
-    df = spark.createDataFrame(toxic_table(600), "doc_id long, text string, toxic int")
+    df = spark.createDataFrame(toxic_table(1200), "doc_id long, text string, toxic int")
     labels = df.select("doc_id", "toxic")
     one = toxicity.learn(df, labels)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
@@ -75,7 +75,7 @@ def test_toxicity_in_any_partitioning(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert "wretch fish" in one.exceptions
     got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(df, one).collect()}
-    assert np.mean([got[i] == y for i, _, y in toxic_table(600)]) > 0.97
+    assert np.mean([got[i] == y for i, _, y in toxic_table(1200)]) > 0.97
 
 
 def test_least_hashed(spark):
