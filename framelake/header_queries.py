@@ -9,7 +9,10 @@ from framelake.operators import auxiliary, headers, raster
 from framelake.queries import _COLOR_SQL, _FREQ_SQL, _MADE_SQL, _REQUESTS_SQL, _array, _made, _requests
 from framelake.registry import query, table
 
-_K = F.col("path").cast("int")
+
+def _k():
+    """The number that a made header's path is."""
+    return F.col("path").cast("int")
 
 
 def _part(n: int, field: str):
@@ -40,14 +43,14 @@ def size_status(spark, sf_dir):
     """Headers of all colour formats, of some of which a component has a line too many."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), (F.col("c_custkey") % 10).alias("color"), *[F.lit(v).alias(n) for n, v in (("f", 50.0), ("l", 15.625), ("p", 13.5), ("n", 576), ("w", 720), ("i", 2), ("h", 4), ("v", 3))])
     h = headers.free_header(c, "color", "f", "l", "p", "n", "w", "i", "h", "v")
-    comp = F.transform("comp", lambda x, i: headers.replaced(x, lin_image=x["lin_image"] + F.when(i == F.floor(_K / 10) % 4 - 1, 1).otherwise(0)))
+    comp = F.transform("comp", lambda x, i: headers.replaced(x, lin_image=x["lin_image"] + F.when(i == F.floor(_k() / 10) % 4 - 1, 1).otherwise(0)))
     return headers.check_header(h.withColumn("comp", comp)).select("path", "status")
 
 
 @query(f"SELECT path, CAST(CASE k % 9 WHEN 1 THEN 199 WHEN 2 THEN 200 WHEN 3 THEN 229 WHEN 4 THEN 500 WHEN 5 THEN 501 WHEN 6 THEN 502 WHEN 7 THEN [204, 206, 207, 503][CAST(k // 9 % 4 + 1 AS INTEGER)] WHEN 8 THEN 500 ELSE 0 END AS INTEGER) AS status FROM ({_MADE_SQL})")
 def range_status(spark, sf_dir):
     """Every code of the range checks, alone and where several fail."""
-    at, odd = _K % 9, F.floor(_K / 9) % 4
+    at, odd = _k() % 9, F.floor(_k() / 9) % 4
     alter = lambda n, v, c: F.when((at == 7) & (odd == n), v).otherwise(c)
     comp = F.transform("comp", lambda c, i: headers.replaced(c, tem_sbsmpl=alter(0, 2, c["tem_sbsmpl"]), lin_sbsmpl=alter(1, 100, c["lin_sbsmpl"]), pix_sbsmpl=alter(2, -1, c["pix_sbsmpl"]), pix_phshft=alter(3, 100, c["pix_phshft"]), lin_image=F.when((at == 6) & (i == 1), -1).otherwise(c["lin_image"])))
     change = {"nr_images": F.when(at.isin(1, 8), 10_000_000).otherwise(F.col("nr_images")), "nr_compon": F.when(at == 2, 129).otherwise(F.col("nr_compon")), "nr_aux_hdr_recs": F.when(at == 3, 33).otherwise(F.col("nr_aux_hdr_recs")), "act_lines": F.when(at.isin(4, 8), 1_000_000).otherwise(F.col("act_lines")), "interlace": F.when(at == 5, 3).otherwise(F.col("interlace"))}
@@ -62,26 +65,26 @@ _NEW_SQL = f"SELECT *, {_COLOR_SQL} AS old_, k % 10 AS new_ FROM ({_MADE_SQL})"
 @query(f"""SELECT path, CASE WHEN old_ <> new_ AND new_ = 9 THEN 300 ELSE 0 END AS status, CAST(CASE WHEN new_ = old_ OR new_ = 9 THEN 2 ELSE [1, 2, 2, 3, 3, 3, 3, 1, 3][new_ + 1] END AS INTEGER) AS nr_compon,
     CAST(CASE WHEN new_ = old_ OR new_ = 9 THEN n1 WHEN new_ IN (0, 7) THEN NULL WHEN new_ IN (2, 5) THEN n // 2 // i ELSE n // i END AS INTEGER) AS lines_1, CAST(CASE WHEN new_ = old_ OR new_ = 9 THEN w1 WHEN new_ IN (0, 7) THEN NULL WHEN new_ IN (4, 5) THEN w // 2 ELSE w END AS INTEGER) AS pixels_1 FROM ({_NEW_SQL})""")
 def mod_color_format(spark, sf_dir):
-    h = headers.set_color_format(_made(spark, sf_dir), _K % 10)
+    h = headers.set_color_format(_made(spark, sf_dir), _k() % 10)
     return h.select("path", "status", "nr_compon", _part(1, "lin_image").alias("lines_1"), _part(1, "pix_line").alias("pixels_1"))
 
 
 @query(f"SELECT path, CASE r WHEN 'x' THEN 600 ELSE 0 END AS status, CAST(CASE r WHEN '16:9' THEN 16 WHEN 'w:h' THEN w // gcd(w, n) ELSE 4 END AS INTEGER) AS h_pp_size, CAST(CASE r WHEN '16:9' THEN 9 WHEN 'w:h' THEN n // gcd(w, n) ELSE 3 END AS INTEGER) AS v_pp_size FROM (SELECT *, ['4:3', '16:9', 'w:h', 'x'][k % 4 + 1] AS r FROM ({_MADE_SQL}))")
 def mod_aspect_ratio(spark, sf_dir):
-    h = headers.set_aspect_ratio(_made(spark, sf_dir), _array(["4:3", "16:9", "w:h", "x"], _K % 4))
+    h = headers.set_aspect_ratio(_made(spark, sf_dir), _array(["4:3", "16:9", "w:h", "x"], _k() % 4))
     return h.select("path", "status", "h_pp_size", "v_pp_size")
 
 
 @query(f"""SELECT path, CAST(status AS INTEGER) AS status, CAST(CASE WHEN status > 0 THEN w ELSE [176, 352, 720, 1440, 0][k % 5 + 1] END AS INTEGER) AS act_pixel, CAST(CASE WHEN status > 0 THEN n ELSE [144, 288, 576, 1152, 0][k % 5 + 1] END AS INTEGER) AS act_lines, CAST(CASE WHEN status > 0 THEN nr_images ELSE nr_images // i * i END AS INTEGER) AS nr_images
     FROM (SELECT *, CASE WHEN k % 5 = 3 AND i = 1 THEN 702 WHEN k % 5 = 4 AND i = 2 THEN 701 WHEN k % 5 = 4 THEN 700 WHEN {_COLOR_SQL} = 9 THEN 300 ELSE 0 END AS status FROM ({_MADE_SQL}))""")
 def mod_defined_size(spark, sf_dir):
-    h = headers.set_defined_size(_made(spark, sf_dir), _array(["QCIF", "CIF", "SD", "HDi", "HDp"], _K % 5), F.lit(0))
+    h = headers.set_defined_size(_made(spark, sf_dir), _array(["QCIF", "CIF", "SD", "HDi", "HDp"], _k() % 5), F.lit(0))
     return h.select("path", "status", "act_pixel", "act_lines", "nr_images")
 
 
 @query(f"SELECT path, CASE WHEN k % 7 = 0 THEN 420 ELSE 0 END AS status, CASE WHEN k % 7 = 0 THEN 50.0::DOUBLE ELSE k % 7 - 1.0 END AS ima_freq, CASE WHEN k % 7 = 0 THEN 15.625::DOUBLE ELSE 2.5 END AS lin_freq FROM ({_MADE_SQL})")
 def mod_all_freqs(spark, sf_dir):
-    return headers.set_frequencies(_made(spark, sf_dir), _K % 7 - 1.0, F.lit(2.5), F.lit(3.0)).select("path", "status", "ima_freq", "lin_freq")
+    return headers.set_frequencies(_made(spark, sf_dir), _k() % 7 - 1.0, F.lit(2.5), F.lit(3.0)).select("path", "status", "ima_freq", "lin_freq")
 
 
 _FREQS = ["50", "60", "REAL_60", "25", "24", "REAL_24", "30", "REAL_30", "75"]
@@ -90,7 +93,7 @@ _FREQS = ["50", "60", "REAL_60", "25", "24", "REAL_24", "30", "REAL_30", "75"]
 @query(f"""SELECT path, CAST(status AS INTEGER) AS status, CASE WHEN status > 0 THEN 50.0 ELSE {_pick('50.0, 59.94, 60, 25, 23.976, 24, 29.97, 30', 'least(k % 9, 7)')}::DOUBLE END AS ima_freq, CAST(CASE WHEN status > 0 OR k % 9 IN (0, 3) THEN n ELSE 480 END AS INTEGER) AS act_lines
     FROM (SELECT *, CASE WHEN k % 9 = 8 THEN 400 WHEN n <> 576 THEN 500 WHEN w <> 720 THEN 710 WHEN {_COLOR_SQL} = 9 THEN 300 ELSE 0 END AS status FROM ({_MADE_SQL}))""")
 def mod_defined_freq(spark, sf_dir):
-    h = headers.set_defined_frequency(_made(spark, sf_dir), _array(_FREQS, _K % 9))
+    h = headers.set_defined_frequency(_made(spark, sf_dir), _array(_FREQS, _k() % 9))
     return h.select("path", "status", "ima_freq", "act_lines")
 
 
@@ -99,13 +102,13 @@ _FMT_SQL = f"""SELECT *, ['B*8 ', 'B*10', 'I*2 ', 'R*2 ', 'X   '][k % 5 + 1] AS
 
 @query(f"SELECT path, status, CASE WHEN status = 0 THEN fmt ELSE f0 END AS fmt_0, CASE WHEN status = 0 AND {_COLOR_SQL} = 2 THEN fmt ELSE f1 END AS fmt_1 FROM ({_FMT_SQL})")
 def mod_data_format(spark, sf_dir):
-    h = headers.set_data_format(_made(spark, sf_dir), _array(["B*8 ", "B*10", "I*2 ", "R*2 ", "X   "], _K % 5))
+    h = headers.set_data_format(_made(spark, sf_dir), _array(["B*8 ", "B*10", "I*2 ", "R*2 ", "X   "], _k() % 5))
     return h.select("path", "status", _part(0, "data_fmt").alias("fmt_0"), _part(1, "data_fmt").alias("fmt_1"))
 
 
 @query(f"SELECT path, CASE WHEN k * 37 % 4096 >= 2048 THEN 225 ELSE 0 END AS status, CASE WHEN k * 37 % 4096 >= 2048 THEN '' ELSE repeat('x', k * 37 % 4096) END AS description FROM ({_MADE_SQL})")
 def mod_description(spark, sf_dir):
-    return headers.set_description(_made(spark, sf_dir), F.repeat(F.lit("x"), _K * 37 % 4096)).select("path", "status", "description")
+    return headers.set_description(_made(spark, sf_dir), F.repeat(F.lit("x"), _k() * 37 % 4096)).select("path", "status", "description")
 
 
 @query(f"SELECT path, 2 AS comp_id, 3 AS nr_compon, 'void ' AS name, CAST(n // i AS INTEGER) AS lines, CAST(w AS INTEGER) AS pixels FROM ({_MADE_SQL})")
@@ -119,13 +122,13 @@ _SET_SQL = f"""SELECT *, CASE WHEN k % 13 = 0 THEN 800 WHEN w % (k % 3 + 1) <> 0
 @query(f"""SELECT path, status, CASE WHEN status = 0 AND k % 4 = 1 THEN 'alpha' ELSE 'Y    ' END AS name_0, CASE WHEN status = 0 AND k % 4 = 2 THEN 'alpha' ELSE 'U/V  ' END AS name_1, CAST(CASE WHEN status = 0 AND k % 4 = 2 THEN 2 * w // (k % 3 + 1) ELSE w1 END AS INTEGER) AS pixels_1,
     CAST(CASE WHEN status = 0 AND k % 4 = 2 THEN n // (k % 2 + 1) // i ELSE n1 END AS INTEGER) AS lines_1 FROM ({_SET_SQL})""")
 def mod_set_component(spark, sf_dir):
-    h = headers.set_component(_made(spark, sf_dir), _K % 4 - 1, F.lit("alphabet"), F.when(_K % 13 == 0, "X").otherwise("B*8 "), _K % 3 + 1, _K % 2 + 1, F.lit(2))
+    h = headers.set_component(_made(spark, sf_dir), _k() % 4 - 1, F.lit("alphabet"), F.when(_k() % 13 == 0, "X").otherwise("B*8 "), _k() % 3 + 1, _k() % 2 + 1, F.lit(2))
     return h.select("path", "status", _part(0, "com_code").alias("name_0"), _part(1, "com_code").alias("name_1"), _part(1, "pix_line").alias("pixels_1"), _part(1, "lin_image").alias("lines_1"))
 
 
 @query(f"SELECT path, CASE WHEN k % 5 > 2 THEN 201 ELSE 0 END AS status, CAST(CASE WHEN k % 5 IN (1, 2) THEN 1 ELSE 2 END AS INTEGER) AS nr_compon, CASE k % 5 WHEN 1 THEN 'U/V  ' ELSE 'Y    ' END AS name_0 FROM ({_MADE_SQL})")
 def mod_rm_component(spark, sf_dir):
-    h = headers.remove_component(_made(spark, sf_dir), _K % 5 - 1)
+    h = headers.remove_component(_made(spark, sf_dir), _k() % 5 - 1)
     return h.select("path", "status", "nr_compon", _part(0, "com_code").alias("name_0"))
 
 
@@ -174,7 +177,7 @@ def get_frames(spark, sf_dir):
 
 @query(f"SELECT path, CAST(w AS INTEGER) AS width, CAST(n AS INTEGER) AS height, CAST([w0, w1, NULL][k % 3 + 1] AS INTEGER) AS comp_width, CAST([n0, n1, NULL][k % 3 + 1] AS INTEGER) AS comp_height, CASE WHEN k % 3 = 2 THEN 201 ELSE 0 END AS status FROM ({_MADE_SQL})")
 def get_sizes(spark, sf_dir):
-    (w, h), (cw, ch, status) = headers.frame_size(), headers.buffer_size(_K % 3)
+    (w, h), (cw, ch, status) = headers.frame_size(), headers.buffer_size(_k() % 3)
     return _made(spark, sf_dir).select("path", w.alias("width"), h.alias("height"), cw.alias("comp_width"), ch.alias("comp_height"), status.alias("status"))
 
 
@@ -190,7 +193,7 @@ def get_components(spark, sf_dir):
 
 @query(f"SELECT path, CASE k % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS number FROM ({_MADE_SQL})")
 def component_by_name(spark, sf_dir):
-    return _made(spark, sf_dir).select("path", headers.component_number(_array(["Y", "U/V  x", "U"], _K % 3)).alias("number"))
+    return _made(spark, sf_dir).select("path", headers.component_number(_array(["Y", "U/V  x", "U"], _k() % 3)).alias("number"))
 
 
 _LABELS = (("nr_images", "number of images"), ("2", "number of components"), ("36", "number of file description records"), ("0", "number of auxiliary data records"), ("'VIDEO                    '", "application type"), ("512", "bytes per record"), ("1", "little endian"), ("32", "number of auxiliary header records"), ("'50.000000'", "image frequency"), ("'15.625000'", "line frequency"), ("'13.500000'", "pixel frequency"), ("n", "active lines"), ("w", "active pixels"), ("i", "interlace factor"), ("4", "horizontal proportional picture size"), ("3", "vertical proportional picture size"))
@@ -266,5 +269,5 @@ def text_syntax(spark, sf_dir):
 
 @query(f"SELECT path, {_FREQ_SQL.format('ima_freq')} AS freq, CASE WHEN n IN (576) THEN 'SD' ELSE 'UNKNOWN' END AS size, '4:3' AS aspect FROM (SELECT *, 50.0::DOUBLE + k % 3 * 4.97 AS ima_freq FROM ({_MADE_SQL}))")
 def get_classes(spark, sf_dir):
-    h = _made(spark, sf_dir).withColumn("ima_freq", F.lit(50.0) + _K % 3 * 4.97)
+    h = _made(spark, sf_dir).withColumn("ima_freq", F.lit(50.0) + _k() % 3 * 4.97)
     return h.select("path", headers.frequency_class(F.col("ima_freq")).alias("freq"), headers.size_class().alias("size"), headers.aspect_class().alias("aspect"))

@@ -26,7 +26,7 @@ def test_without_corpus_operators(tmp_path):
     for p in (ROOT / "framelake").iterdir():
         if p.name != "llm":
             (tmp_path / "framelake" / p.name).symlink_to(p)
-    out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(sorted(e.queries())[0], any(k.startswith('op1_') for k in e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; print(sorted(e.queries())[0], any(k.startswith('op1_') for k in {**e.queries(), **e.oracle_sql()}))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert out.stdout.split()[-1] == "False", out.stderr
 
 
