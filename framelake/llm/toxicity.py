@@ -50,7 +50,7 @@ def fold(text: str) -> str:
 
 @dataclass(frozen=True)
 class Model:
-    """lexicon: (pattern, weight); a pattern that ends in * matches the starts of words, others whole words. bias, slopes: of the score."""
+    """lexicon: (pattern, weight); a pattern that ends in * matches the starts of longer words, others whole words. bias, slopes: of the score."""
 
     lexicon: tuple[tuple[str, float], ...]
     exceptions: tuple[str, ...]
@@ -79,7 +79,7 @@ class Matcher:
     def matches(self, text: str) -> tuple[dict[int, tuple[float, int]], list[tuple[int, int]]]:
         """Of a folded text: start to (weight, last place) of what matches, and the exception phrases (start, last place) in it.
 
-        A pattern with a star matches at the start of a word, another a whole word. Of the patterns that match at one start the heaviest
+        A pattern with a star matches the start of a longer word, another a whole word. Of the patterns that match at one start the heaviest
         counts. Phrases match whole words.
         """
         hits: dict[int, tuple[float, int]] = {}
@@ -96,7 +96,7 @@ class Matcher:
                 if weight < 0:
                     if whole:
                         free.append((start, end))
-                elif (starts or whole) and weight > hits.get(start, (0, 0))[0]:
+                elif starts != whole and weight > hits.get(start, (0, 0))[0]:
                     hits[start] = (weight, end)
         return hits, free
 
@@ -125,10 +125,10 @@ def matcher(model: Model) -> Matcher:
 
 
 def _patterns(words: Sequence[str], shortest: int = 4, longest: int = 10) -> set[str]:
-    """Whole words of two letters or more, and starts of words."""
+    """Whole words of two letters or more, and starts of longer words."""
     out = {w for w in words if len(w) > 1}
     for w in words:
-        out.update(w[:n] + "*" for n in range(shortest, min(longest, len(w)) + 1))
+        out.update(w[:n] + "*" for n in range(shortest, min(longest, len(w) - 1) + 1))
     return out
 
 
@@ -165,7 +165,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
     return b
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, least: float = 3.5, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, least: float = 2.5, exceptions: Sequence[str] = EXCEPTIONS) -> Model:
     """A model from labels (doc_id, toxic): at most `most` labelled documents, those with the smallest hashes of their ids.
 
     The lexicon: words and starts of words whose log-odds are `least` or more and whose share of toxic documents is beyond chance (ACCIDENT,

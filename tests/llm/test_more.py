@@ -27,7 +27,7 @@ def naive(model, text):
         best = 0.0
         for pattern, weight in model.lexicon:
             stem = pattern.rstrip("*")
-            if text.startswith(stem, i) and (pattern.endswith("*") or not text[i + len(stem) : i + len(stem) + 1].isalpha()):
+            if text.startswith(stem, i) and pattern.endswith("*") == text[i + len(stem) : i + len(stem) + 1].isalpha():
                 best = max(best, weight)
         if best and not any(a <= i <= b for a, b in phrases):
             total, n = total + best, n + 1
