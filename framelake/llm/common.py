@@ -6,14 +6,16 @@ Nothing here gathers rows in proportion to the input on the driver or in one tas
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from framelake.sources.shared import kept as checkpointed
+from framelake.sources.shared import shared_dir as shared_dir
+
 #: White space of every text contract here: space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 #: Rows up to which a lookup table is broadcast; beyond it is shuffled.
@@ -22,27 +24,6 @@ BROADCAST_ROWS = 50_000
 HOT_SHARE = 1 / 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (local mode only), a new one."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return named or held.get()
-    if not named:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="framelake-")
-    sc.setCheckpointDir(named)
-    return named
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder, so that a lost executor costs no more than a read."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def one_space(text: Column) -> Column:
     """The text with each run of white space made one space; null is empty.
 
@@ -199,8 +180,9 @@ def hot_keys(df: DataFrame, key: str, slices: int = 32, tracked: int = 2048, rep
     """Distinct values of a string column that may be frequent, at most slices * reported.
 
     Each of `slices` hash classes of keys keeps a frequent-items sketch (the Misra-Gries family: counters that are
-    decremented together), built in part before the shuffle. A key with more than
-    3.5 / tracked of its slice's rows is never missed.
+    decremented together), built in part before the shuffle. Of the keys with more than 3.5 / tracked of their slice's rows, which
+    the sketch never misses, each slice gives the `reported` most frequent; so a key that isn't given has less than
+    1 / reported of its slice's rows.
     """
     one = df.filter(F.col(key).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(slices)).alias("_s"))
     top = one.agg(F.expr(f"approx_top_k(`{key}`, {reported}, {tracked})").alias("_t"))

@@ -65,7 +65,7 @@ def cuts(placed: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float =
     still gives, _tied: how many rows are alike in these three).
     """
     per = checkpointed(placed.groupBy("_by").agg(F.sum("_size").alias("source_size"), F.count("*").alias("_n")))
-    total = placed.count()
+    total = per.agg(F.sum("_n")).first()[0] or 0
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goals = targets(per, weights, share, at_most).withColumn("_epochs", epochs)
     goals = checkpointed(goals.withColumn("_rest", F.floor("target").cast("long") - F.col("_epochs") * F.col("source_size")))

@@ -163,4 +163,6 @@ def labelled_pages(pages: DataFrame, labels: DataFrame, page_id: str = "page_id"
     p = pages.select(F.col(page_id).alias("page_id"), F.nullif(shown, F.lit("")).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
     bad = (F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)
     known = checkpointed(labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(bad).alias("bad")))
-    return lookup(p, known, "doc_id").filter("bad IS NOT NULL").select("page_id", "bad")
+    often = checkpointed(known.join(p.groupBy("doc_id").agg(F.count("*").alias("_n")), "doc_id"))  # of what is shown
+    total = often.agg(F.sum("_n")).first()[0] or 0
+    return lookup(p, often, "doc_id", "_n", total).filter("bad IS NOT NULL").select("page_id", "bad")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framelake.llm.common import checkpointed, lookup, shared_dir, with_first
+from framelake.sources.shared import remove
 
 MAGIC = "WARC/1."
 #: Payloads below this many bytes are never revisits.
@@ -166,6 +167,5 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, keep: bool =
         raise RuntimeError(f"{path}: a chain of records broke")
     out = checkpointed(out.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")))
     if not keep and not folder:
-        gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        remove(spark, path)
     return out
