@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from framelake.llm import mixing, packing, simhash, toxicity
 from framelake.llm.common import checkpointed, shared_dir, without_places
 from framelake.llm.exact_dedup import exact_dedup
+from framelake.sources.shared import remove
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. A stage's table goes once the next one is written; the last one stays in the shared folder."""
     import uuid
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
