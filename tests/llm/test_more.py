@@ -272,7 +272,7 @@ def test_registered_queries(spark):
     for p in Path(SF).glob("*.parquet"):
         c.sql(f"CREATE VIEW {p.stem} AS FROM '{p}'")
     sql = queries.oracle_sql()
-    size = c.sql("SELECT count(*) FROM documents").fetchone()[0]
+    size = c.sql("SELECT count(*) FROM documents").fetchall()[0][0]
     for name, query in queries.queries().items():
         a = query(spark, SF).toPandas()
         if name in sql:
